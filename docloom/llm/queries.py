@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .boilerplate import furniture, main_body
+from .repeated_lines import repeated_lines, without_lines
 from .splitting import split_oversized
 
 
@@ -24,6 +25,23 @@ def p2_main_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(table(spark, sf_dir, "chunks"), row_id="id", source="package", content="content")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated(spark, sf_dir).select("chunk_id", "line_no")
+
+
+def p3_lines_by_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated(spark, sf_dir).groupBy("package", "masked").agg(F.count_distinct("chunk_id").alias("n_chunks"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").select("id", "content").distinct()
+    return without_lines(chunks, p3_found(spark, sf_dir), row_id="id", content="content").select("id", "cleaned")
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = split_oversized(table(spark, sf_dir, "chunks"), row_id="id", content="content", src_table="chunks")
     raw = split_oversized(table(spark, sf_dir, "raw_chunks"), row_id="id", content="content", src_table="raw_chunks")
@@ -34,7 +52,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece_no > 1").select("src_table", "row_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_main_body": p2_main_body, "p4_found": p4_found, "p4_pieces": p4_pieces}
+_FOUND = [p2_found, p2_main_body, p3_found, p3_lines_by_package, p3_cleaned, p4_found, p4_pieces]
+QUERIES = {q.__name__: q for q in _FOUND}
 ORACLES = {
     "p4_found": """
         SELECT DISTINCT 'chunks' AS src_table, id AS row_id FROM chunks WHERE length(content) // 4 > 800
