@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .boilerplate import furniture, main_body
 from .repeated_lines import repeated_lines, without_lines
+from .residue import residue_pages, without_residue
 from .splitting import split_oversized
 
 
@@ -52,7 +53,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece_no > 1").select("src_table", "row_id").distinct()
 
 
-_FOUND = [p2_found, p2_main_body, p3_found, p3_lines_by_package, p3_cleaned, p4_found, p4_pieces]
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_pages(
+        [
+            ("crawled_pages", table(spark, sf_dir, "crawled_pages"), "crawl_id", "url", "content"),
+            ("fetched_html", table(spark, sf_dir, "fetched_html"), "fetch_id", "final_url", "text"),
+        ]
+    )
+
+
+def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = p5_found(spark, sf_dir)
+    pages = without_residue(table(spark, sf_dir, "crawled_pages"), cases, src_table="crawled_pages", row_id="crawl_id")
+    html = without_residue(table(spark, sf_dir, "fetched_html"), cases, src_table="fetched_html", row_id="fetch_id")
+    return pages.select(F.lit("crawled_pages").alias("src_table"), F.col("crawl_id").alias("row_id"), "url", F.col("content").alias("text")).union(
+        html.select(F.lit("fetched_html"), "fetch_id", "url", "text")
+    )
+
+
+_FOUND = [p2_found, p2_main_body, p3_found, p3_lines_by_package, p3_cleaned, p4_found, p4_pieces, p5_found, p5_kept]
 QUERIES = {q.__name__: q for q in _FOUND}
 ORACLES = {
     "p4_found": """
