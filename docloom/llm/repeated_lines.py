@@ -41,6 +41,7 @@ _MONTH = "(?:" + "|".join(sorted(_MONTHS, key=len, reverse=True)) + r")\b\.?"
 _DATE = re.compile(rf"\b\d{{1,2}}(?:st|nd|rd|th)?\.?\s+(?:de\s+)?{_MONTH},?\s+(?:de\s+)?\d{{4}}|\b{_MONTH}\s+\d{{1,2}},?\s+\d{{4}}")
 _WORD = re.compile(r"[^\W_]+")
 _NUMBERS = re.compile(r"\d+")
+_DIGIT, _YEAR = re.compile(r"\d").search, re.compile(r"\d{4}").search
 _ZEROS = re.compile(r"\b0(?: 0)+\b")
 _WHO = r"[^\W\d_][\w.'’-]*"
 _BY = re.compile(rf"\bby {_WHO}(?: {_WHO}){{0,3}}(?=$|\s+[·|•/–—]|,)")
@@ -51,17 +52,20 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 def masked(line: str) -> str:
     """The line as it is compared: equal for lines that differ in what is masked only; '' if no word is left."""
-    s = " ".join(line.lower().split()).strip(" *_>—–-~")
-    if "/" in s:
+    s = line.lower()
+    if "/" in s or "www." in s:
         s = _ADDRESS.sub("address", s)
-    if any(map(str.isdigit, s)):
-        s = _NUMBERS.sub("0", _DATE.sub("0", s))
-    if len(s) < 120:
-        if " by " in s or s.startswith("by "):
-            s = _BY.sub("by author", s)
-        if ", " in s and s.endswith(("0", "0.", "0_", "0*")):
+    if _DIGIT(s):
+        if _YEAR(s):
+            s = _DATE.sub("0", " ".join(s.split()))
+        s = _NUMBERS.sub("0", s)
+    if len(s) < 120 and (" by " in s or ", " in s or s.startswith("by ")):
+        s = " ".join(s.split()).strip(" *_>—–-~")
+        s = _BY.sub("by author", s)
+        if s.endswith(("0", "0.")):
             s = _HEAD.sub("author", s)
-    return _ZEROS.sub("0", " ".join(_WORD.findall(s)))
+    s = " ".join(_WORD.findall(s))
+    return _ZEROS.sub("0", s) if "0 0" in s else s
 
 
 def candidate_lines(text: str) -> list[tuple[int, str]]:
