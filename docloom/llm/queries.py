@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .boilerplate import furniture, main_body
+from .mixing import mix, mixed_documents, share_report
+from .packing import fill_report, pack
 from .repeated_lines import repeated_lines, without_lines
 from .residue import residue_pages, without_residue
 from .splitting import split_oversized
@@ -71,7 +73,31 @@ def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_FOUND = [p2_found, p2_main_body, p3_found, p3_lines_by_package, p3_cleaned, p4_found, p4_pieces, p5_found, p5_kept]
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), item_id="doc_id", text="text").withColumnRenamed("item_id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p6_containers(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), item_id="doc_id", source="source", text="text")
+
+
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(_mixed(spark, sf_dir)).withColumnRenamed("item_id", "doc_id")
+
+
+def p7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).withColumnRenamed("item_id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return share_report(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+_FOUND = [p2_found, p2_main_body, p3_found, p3_lines_by_package, p3_cleaned, p4_found, p4_pieces, p5_found, p5_kept, p6_containers, p6_fill, p7_documents, p7_blocks, p7_shares]
 QUERIES = {q.__name__: q for q in _FOUND}
 ORACLES = {
     "p4_found": """
