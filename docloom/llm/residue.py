@@ -95,24 +95,43 @@ def mask(block: str) -> str:
     return _NUMBER.sub("0", _DATE.sub("0", _ADDRESS.sub("address", s))).strip(" *_>#—–-").lower()
 
 
-def is_filler(block: str) -> bool:
+#: a word of each phrase above, to pass over ordinary text quickly; other scripts' phrases by what they contain
+_HINTS = set(
+    "found gateway server unavailable gone forbidden request unauthorized denied wrong requests oops gefunden introuvable encontrada trovata verweigert refusé denegado "
+    "your permission limit upstream asked looking requested exist angeforderte demandée encontramos solicitada busca broken traceback human browser robot blocked "
+    "javascript scripts script loading soon construction yet content later aufbau construcción próximamente disponible kürze "
+    "error code status back reference again home return contact".split()
+)
+_OTHER_HINTS = ("見つかり", "お探し", "スクリプト", "javascript", "準備中", "工事中", "近日公開", "页面", "本页", "启用", "期待")
+_SPACES = str.maketrans(dict.fromkeys(".,;:!?…–—-/()[]\"'", " "))
+_MARKS = re.compile(r"[{<%@\[]|&lt;|__|TODO|FIXME|TB[DC]|XXX|todo|fixme|tb[dc]|xxx|[Rr]eplace|[Uu]ndefined|[Nn]a[Nn]|[Nn]ull|[Nn]one")
+_SHORT = 40
+
+
+def is_filler(block: str, words: set[str] | None = None) -> bool:
     """Placeholder Latin, or one or two words over and over."""
-    words = re.findall(r"[^\W\d_]+", block.lower())
-    if len(words) < 4:
+    if words is not None and len(words) > 2 and LATIN.isdisjoint(words):
         return False
-    if len(set(words)) <= 2 and len(words) >= 6:
+    said = re.findall(r"[^\W\d_]+", block.lower())
+    if len(said) < 4:
+        return False
+    if len(set(said)) <= 2 and len(said) >= 6:
         return True
-    return sum(w in LATIN for w in words) >= 0.7 * len(words)
+    return sum(w in LATIN for w in said) >= 0.7 * len(said)
 
 
 def classify(block: str) -> str:
     """'placeholder', a strong message's kind, 'filler', 'weak', or '' for ordinary text; code is taken out before."""
-    told = _QUOTED.sub("", block)
-    found = PLACEHOLDER.search(told)
-    if found and not _CASED.fullmatch(found[0]):
-        return "placeholder"
-    if is_filler(block):
+    if _MARKS.search(block):
+        found = PLACEHOLDER.search(_QUOTED.sub("", block))
+        if found and not _CASED.fullmatch(found[0]):
+            return "placeholder"
+    low = block.lower()
+    words = set(low.translate(_SPACES).split())
+    if is_filler(block, words):
         return "filler"
+    if len(block) > _SHORT and _HINTS.isdisjoint(words) and (block.isascii() or not any(h in low for h in _OTHER_HINTS)):
+        return ""
     m = mask(block)
     if len(m) > 160:
         return ""
