@@ -11,6 +11,7 @@ from .mixing import mix, mixed_documents, share_report
 from .packing import fill_report, pack
 from .repeated_lines import repeated_lines, without_lines
 from .residue import residue_pages, without_residue
+from .sentences import sentences
 from .splitting import split_oversized
 
 
@@ -97,8 +98,35 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-_FOUND = [p2_found, p2_main_body, p3_found, p3_lines_by_package, p3_cleaned, p4_found, p4_pieces, p5_found, p5_kept, p6_containers, p6_fill, p7_documents, p7_blocks, p7_shares]
-QUERIES = {q.__name__: q for q in _FOUND}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"), item_id="doc_id", text="text")
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"), item_id="doc_id", text="text", with_text=True)
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        p2_found,
+        p2_main_body,
+        p3_found,
+        p3_lines_by_package,
+        p3_cleaned,
+        p4_found,
+        p4_pieces,
+        p5_found,
+        p5_kept,
+        p6_containers,
+        p6_fill,
+        p7_documents,
+        p7_blocks,
+        p7_shares,
+        p8_found,
+        p8_sentences,
+    )
+}
 ORACLES = {
     "p4_found": """
         SELECT DISTINCT 'chunks' AS src_table, id AS row_id FROM chunks WHERE length(content) // 4 > 800
