@@ -11,19 +11,20 @@ The weights in ``models/sentences.npz`` are fitted by ``training/fit_sentences.p
 
 from __future__ import annotations
 
+import io
+import pkgutil
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODEL = Path(__file__).with_name("models") / "sentences.npz"
+MODEL = "models/sentences.npz"
 BUCKETS = 1 << 16
 DISTANCES = (4, 12)
 
@@ -35,6 +36,7 @@ _BARE_GAP = re.compile(rf"(?<=[{_BARE}])\s+(?=\S)|(?<=\S)\s+(?=[{_BARE}])")
 _CLOSERS = "\"'”“’»)]」』）"
 _SPAN = re.compile(r"`[^`\n]*`|“[^“”]*”|«[^«»]*»|„[^„“”]*[“”]|「[^「」]*」|『[^『』]*』|\"[^\"]*\"|\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]")
 _HAS_SPAN = re.compile(r"[`“«„「『\"(（\[]")
+_GLUED = re.compile(r".{3,}[.!?…](?=[^\W\d_])([^.!?…]+)$")
 _FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]|$)")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•‣·]|(\d{1,9})[.)])[ \t]+(?=\S)")
@@ -186,6 +188,9 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, tuple[str, st
         gap = "\n" if "\n" in tail[: len(tail) - len(after)] else " " if tail[:1].isspace() else ""
         head = unit[max(0, a - 32) : a].rstrip()
         before = head.split()[-1].lstrip("(“„«「『\"（[¿¡‘") if head else ""
+        glued = _GLUED.match(before)
+        if glued:
+            before = glued[1]  # a sentence that began without a space
         inside = "" if held is None or e >= held[1] else "(" if held[2] in "(（[" else "q"
         out.append((start + e, (before[-16:], m[0][:4], unit[b:e].strip(), gap, after.split(None, 1)[0][:16], inside)))
     if _HAS_BARE.search(unit):
@@ -234,7 +239,7 @@ class Tagger:
     @classmethod
     @lru_cache(maxsize=1)
     def shipped(cls) -> Tagger:
-        with np.load(MODEL) as z:
+        with np.load(io.BytesIO(pkgutil.get_data(__package__, MODEL))) as z:  # also from a zipped package
             return cls(z["weights"], z["trans"])
 
     def _score(self, context: tuple) -> float:

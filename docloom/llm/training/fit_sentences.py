@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import sys
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -88,7 +89,7 @@ def main(sf: str, epochs: int = 5) -> None:
             tags = decode([tagger.score(c) for c, _, _ in chain], [d for _, d, _ in chain], tagger.trans)
             bad, seen = bad + sum(g != y for g, (_, _, y) in zip(tags, chain)), seen + len(chain)
         print(f"epoch {e}: {wrong} of {len(data)} chains wrong; held out {bad} of {seen} places wrong; {time.time() - began:.0f} s", flush=True)
-    np.savez_compressed(MODEL, weights=(w - total / (n + 1)).astype("float16"), trans=(t - t_total / (n + 1)).astype("float16"))
+    np.savez_compressed(Path(__file__).parent.parent / MODEL, weights=(w - total / (n + 1)).astype("float16"), trans=(t - t_total / (n + 1)).astype("float16"))
 
 
 if __name__ == "__main__":

@@ -47,6 +47,11 @@ def test_unspaced_scripts(parts):
     assert cut("".join(parts)) == parts
 
 
+def test_missing_space_before_an_initial():
+    assert cut("It is nested.J. K. Dorvane wrote `x`. So") == ["It is nested.", "J. K. Dorvane wrote `x`.", "So"]
+    assert cut("Les données.M. Sundreth a réécrit `x`.") == ["Les données.", "M. Sundreth a réécrit `x`."]
+
+
 def test_layout():
     text = "# Head. One\nA line\ngoes on. Next one\n\n- item a. More\n- item b\n  goes on\n1. first\n```py\nx = 1. Y\n\n```\nend"
     assert cut(text) == ["# Head. One", "A line\ngoes on.", "Next one", "- item a.", "More", "- item b\n  goes on", "1. first", "```py\nx = 1. Y\n\n```", "end"]
