@@ -11,11 +11,12 @@ The weights in ``models/boilerplate.npz`` are fitted by ``training/fit_boilerpla
 
 from __future__ import annotations
 
+import io
+import pkgutil
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 4096
-MODEL = Path(__file__).with_name("models") / "boilerplate.npz"
+MODEL = "models/boilerplate.npz"
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _KIND = re.compile(r"(#{1,6}(?=\s))|([-*+•]\s)|(\d+[.)]\s)|(>)|(\|.*\|$)|([\[☰‹←])")
 _LINK = re.compile(r"\]\((.)")
@@ -118,7 +119,7 @@ class Labeller:
     @classmethod
     @lru_cache(maxsize=1)
     def shipped(cls) -> Labeller:
-        with np.load(MODEL) as z:
+        with np.load(io.BytesIO(pkgutil.get_data(__package__, MODEL))) as z:  # also from a zipped package
             return cls({k: z[k] for k in z.files})
 
     def embed(self, read: list, context: list) -> np.ndarray:

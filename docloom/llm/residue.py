@@ -191,10 +191,10 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = [(n, head, b, classify(b)) for n, head, b in markdown_lines(text)]
                 if any(k for *_, k in found):
                     markdown.append((i, found))
-        # only pages with some suspicious line need their furniture taken off
+        # only pages with some suspicious line need their furniture taken off; what stands in the article's place stays
         for (i, found), gone in zip(markdown, furniture_lines([texts[i] for i, _ in markdown])):
             drop = set(gone)
-            kept.append((i, [(head, b, k) for n, head, b, k in found if n not in drop]))
+            kept.append((i, [(head, b, k) for n, head, b, k in found if n not in drop or k not in ("", "weak")]))
         rows = {k: [] for k in ("row_id", "text_hash", "source", "placeholder", "n_real", "messages")}
         for i, found in kept:
             messages = [{"hash": xxhash.xxh64_intdigest(mask(b)) - 2**63, "kind": k} for head, b, k in found if k and k != "placeholder"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -16,7 +17,7 @@ from ..boilerplate import MODEL, ROWS, WORDS, Labeller, blocks
 from ..boilerplate import OFFSETS as AT
 from .furniture_labels import labels
 
-MAX_TEXTS = 12_000
+MAX_TEXTS = 30_000
 D, H = 24, 16
 
 
@@ -125,8 +126,7 @@ def main(sf: str, epochs: int = 6) -> None:
         for (read, ctx, y), s in zip(held, net.scores([(b[0], b[1]) for b in held])):
             bad, seen = bad + int(((s > 0) != (y > 0)).sum()), seen + len(y)
         print(f"epoch {e}: loss {loss / total:.5f}, wrong {1 - right / total:.5f}; held out {bad} of {seen} wrong; {time.time() - began:.0f} s", flush=True)
-    MODEL.parent.mkdir(exist_ok=True)
-    np.savez_compressed(MODEL, **{x: y.astype("float16") for x, y in w.items()})
+    np.savez_compressed(Path(__file__).parent.parent / MODEL, **{x: y.astype("float16") for x, y in w.items()})
 
 
 if __name__ == "__main__":
