@@ -19,6 +19,7 @@ STOPWORDS = (
     "of in on at to for with by from as this that these those it its"
 ).split()
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+_SEPARATORS = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 _FENCE = re.compile(r"^```[^\n]*\n(?:.*?^```[^\n]*$|.*\Z)", re.S | re.M)
 
 
@@ -48,8 +49,7 @@ def normalize_text(texts: pd.Series) -> pd.Series:
     """Prose: space separators to spaces, tags out, composed Unicode; fenced code as it is; blank runs to one; stripped."""
 
     def prose(s: str) -> str:
-        s = "".join(" " if unicodedata.category(c) == "Zs" else c for c in s) if not s.isascii() else s
-        return unicodedata.normalize("NFC", re.sub(r"<[^>]+>", "", s))
+        return unicodedata.normalize("NFC", re.sub(r"<[^>]+>", "", _SEPARATORS.sub(" ", s)))
 
     def one(s: str | None) -> str | None:
         if s is None:
@@ -101,20 +101,44 @@ def code_blocks(reply: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_join(found, "\n")).otherwise(reply)
 
 
+#: a fenced block; put before a pattern as its first alternative, it passes over code
+_CODE = r"(?ms)(^```.*?^```[^\n]*$)|"
+# Component tags whose body is kept.
+COMPONENTS = "Note Warning Tip Tabs Tab Callout Info Check Error AccordionGroup Accordion Frame CodeGroup".split()
+
+
 def strip_mdx(text: Column) -> Column:
-    """Drop import and export lines and lone component lines, unwrap quoted expressions, drop other one-line ones."""
+    """Outside fences: drop import and export lines and lone component lines, unwrap quoted expressions, drop other one-line ones."""
     for pattern, by in (
-        (r"(?m)^(?:import|export)\s.*$\n?", ""),
-        (r"(?m)^[ \t]*</?[A-Z][^>\n]*/?>[ \t]*$\n?", ""),
-        (r"\{`([^`\n]*)`\}", "$1"),
-        (r'\{"([^"\n]*)"\}', "$1"),
-        (r"\{'([^'\n]*)'\}", "$1"),
-        (r"\{[^{}\n]*\}", ""),
+        (r"^(?:import|export)\s[^\n]*$\n?", "$1"),
+        (r"^[ \t]*</?[A-Z][^>\n]*/?>[ \t]*$\n?", "$1"),
+        (r"\{`([^`\n]*)`\}", "$1$2"),
+        (r'\{"([^"\n]*)"\}', "$1$2"),
+        (r"\{'([^'\n]*)'\}", "$1$2"),
+        (r"\{[^{}\n]*\}", "$1"),
     ):
-        text = F.regexp_replace(text, pattern, by)
+        text = F.regexp_replace(text, _CODE + pattern, by)
     return text
 
 
+def unwrap_components(text: Column, rounds: int = 2) -> Column:
+    """Bodies of known components in their place, a tab's title as a heading; frames of only an image go."""
+    out = F.regexp_replace(text, _CODE + r"<Frame\b[^>]*>\s*<img\b[^>]*/?>(?:</img>)?\s*</Frame>", "$1")
+    out = F.regexp_replace(out, _CODE + r"<Tab\s[^>]*?title\s*=\s*[\"']([^\"']*)[\"'][^>]*>", "$1\n### $2\n\n")
+    out = F.regexp_replace(out, r"(?m)^### \n\n", "")
+    for _ in range(rounds):
+        for name in COMPONENTS:
+            out = F.regexp_replace(out, _CODE + rf"<{name}\b[^>]*>(.*?)</{name}>", "$1$2")
+    out = F.regexp_replace(out, _CODE + "</Tab>", "$1")
+    return F.when(text.rlike("<[A-Z]"), out).otherwise(text)
+
+
+def process_mdx(text: Column) -> Column:
+    """Component documents as Markdown: components unwrapped, expressions gone, headings clean, blank runs one."""
+    out = clean_headings(strip_mdx(unwrap_components(text)))
+    return F.btrim(F.regexp_replace(out, r"\n(?:[ \t]*\n){2,}", "\n\n"), F.lit(" \n\t\r"))
+
+
 def clean_headings(text: Column) -> Column:
     """Superscript marks out of heading lines."""
     return F.regexp_replace(text, r"(?m)^(#{1,6} .*?)<sup>.*?</sup>", "$1")

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ["package", "version"]
@@ -116,3 +116,15 @@ def lock_state(lock: DataFrame, packages: DataFrame) -> DataFrame:
     have = packages.select("name", "version", F.col("pack_digest").alias("have")).distinct()
     per = lock.join(have, ["name", "version"], "left").groupBy("name", "version", "pack_digest").agg(F.count("have").alias("n"), F.coalesce(F.bool_or(F.col("have") == F.col("pack_digest")), F.lit(False)).alias("same"))
     return per.select("name", "version", "pack_digest", F.when(F.col("n") == 0, "missing").when(F.col("same"), "present").otherwise("digest mismatch").alias("state"))
+
+
+def remove_pack(spark: SparkSession, store: str, package: str, version: str) -> bool:
+    """Take one pack's partition out of ``store``; whether it was there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store.rstrip('/')}/package={package}/version={version}")
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
+def sampled(chunks: DataFrame, n: int, seed: str = "1", least: int = 100) -> DataFrame:
+    """``n`` chunks of at least ``least`` characters outside change logs and indexes, the same for one seed."""
+    fit = chunks.where((F.length("content") >= least) & ~F.coalesce(F.col("heading_path"), F.lit("")).rlike("(?i)changelog|index$|release notes"))
+    return fit.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("chunk_id").cast("string"))), "chunk_id").limit(n)

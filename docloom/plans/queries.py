@@ -9,8 +9,12 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..functions.html import html_to_markdown
 from ..operators import evaluation, fusion, packs, search
+from ..operators.lint import lint
+from ..operators.ranks import order_statistics
 from ..session import table, written
 from ..sources.indexes import split_concatenated
+from ..sources.files import routed_pages
+from .build import build_chunks, with_cached_summaries
 from .crawl import crawl, link_table
 
 STEP = 50  # queries are the rows whose id this divides, searched against all rows
@@ -246,7 +250,7 @@ def text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mdx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "crawled_pages")
-    return c.select("crawl_id", F.sha2(T.strip_mdx(T.clean_headings(T.without_comment_lines(F.col("content")))), 256).alias("sha")).distinct()
+    return c.select("crawl_id", F.sha2(T.clean_headings(T.strip_mdx(T.without_comment_lines(F.col("content")))), 256).alias("sha")).distinct()
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,6 +321,56 @@ def concatenated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("item_id", "seq", "url", F.sha2("content", 256).alias("content_sha"))
 
 
+# -- building and checking ----------------------------------------------------------------------------------
+
+
+def built_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk records of the crawled pages, each package as one pack."""
+    c = table(spark, sf_dir, "crawled_pages")
+    pages = c.select("package", F.lit("crawl").alias("version"), U.canonical_url(F.col("url")).alias("url"), U.label_of(F.col("url")).alias("label"), T.process_mdx(F.col("content")).alias("text"))
+    return build_chunks(pages)
+
+
+def routed_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = routed_pages(table(spark, sf_dir, "fetched_html"), "final_url", "text", "content_type")
+    return got.select("fetch_id", T.content_hash(T.normalize_text(F.col("markdown"))).alias("hash"), F.length("markdown").alias("n_chars"))
+
+
+def cached_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing summaries from other chunks with the same content."""
+    c = _chunks(spark, sf_dir)
+    got = with_cached_summaries(c, c.select("content_hash", F.col("summary").alias("cached")))
+    return got.select("chunk_id", F.md5(F.coalesce("summary", F.lit(""))).alias("summary_md5"))
+
+
+def sampled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.sampled(_chunks(spark, sf_dir), 200).select("chunk_id", "package", F.substring("content", 1, 2000).alias("content"))
+
+
+def markdown_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lint(table(spark, sf_dir, "crawled_pages").select("crawl_id", "content").distinct(), "crawl_id", "content")
+    return found.groupBy("finding").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("item_id").alias("n_pages"))
+
+
+def event_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order statistics of the events' values by type, by the index rules of the latency report."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("n")
+    return order_statistics(e, ["event_type"], "value", {"least": F.lit(0), "p50": F.floor(n / 2), "p95": F.ceil(n * 95 / 100) - 1, "most": n - 1})
+
+
+def event_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy("event_type")
+    return e.agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 4).alias("stdev"))
+
+
+def query_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that would make no good query: empty, of several lines, or of other than two to four terms."""
+    q = _index(spark, sf_dir)[1]
+    terms = F.size(T.query_terms(F.col("query")))
+    return packs.violations(q, {"empty": F.length(F.trim("query")) > 0, "lines": ~F.col("query").contains("\n"), "terms": terms.between(2, 4)}, ["query_id"])
+
+
 # -- SQL ----------------------------------------------------------------------------------------------------
 
 
@@ -388,6 +442,18 @@ _NAMES = ", ".join(f"'{w}'" for w in U.CRAWL_NOISE)
 _ASSET = ", ".join(f"'{w}'" for w in U.ASSETS)
 
 ORACLES = {
+    "cached_summaries": f"""WITH {_CH}, k AS (SELECT content_hash, min(summary) AS cached FROM ch WHERE content_hash IS NOT NULL GROUP BY 1)
+        SELECT chunk_id, md5(coalesce(summary, cached, '')) AS summary_md5 FROM ch LEFT JOIN k USING (content_hash)""",
+    "sampled_chunks": f"""WITH {_CH} SELECT chunk_id, package, substring(content, 1, 2000) AS content FROM ch WHERE length(content) >= 100
+        AND NOT regexp_matches(coalesce(heading_path, ''), '(?i)changelog|index$|release notes') ORDER BY md5('1:' || chunk_id), chunk_id LIMIT 200""",
+    "event_latency": """WITH a AS (SELECT event_type, list_sort(list(value)) AS l, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)
+        SELECT event_type, n, l[1] AS least, l[n // 2 + 1] AS p50, l[(n * 95 + 99) // 100] AS p95, l[n] AS most FROM a""",
+    "event_spread": """SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS stdev FROM events GROUP BY 1""",
+    "query_violations": f"""WITH q AS (SELECT DISTINCT id AS query_id, {_LEAF} AS query FROM chunks WHERE id % {STEP} = 0),
+        t AS (SELECT query_id, query, len(list_filter({_tok('query')}, lambda x: x NOT IN ({_STOP}))) AS n FROM q)
+        SELECT query_id, 'empty' AS violation FROM t WHERE NOT coalesce(length(trim(query)) > 0, false)
+        UNION ALL SELECT query_id, 'lines' FROM t WHERE NOT coalesce(NOT contains(query, chr(10)), false)
+        UNION ALL SELECT query_id, 'terms' FROM t WHERE NOT n BETWEEN 2 AND 4""",
     "index_vocabulary": f"WITH {_INDEX} SELECT term, df FROM df",
     "index_statistics": f"WITH {_INDEX} SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM stats",
     "search_any": f"WITH {_INDEX} SELECT query_id, chunk_id, score, rank FROM {_top('m', 10)}",
@@ -452,10 +518,10 @@ ORACLES = {
     "text_columns": r"""SELECT doc_id, nullif(trim(regexp_extract(text, '(?m)^[ \t]*# (.*)$', 1)), '') AS heading, (length(text) // 4)::INT AS tokens, 'sha256:' || sha256(text) AS hash,
         sha256(concat_ws(chr(10), nullif(title, ''), nullif(source, ''), nullif(text, ''))) AS embedding_sha FROM documents""",
     "mdx_text": r"""WITH a AS (SELECT crawl_id, array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT starts_with(trim(x), '<!--')), chr(10)) AS t FROM crawled_pages),
-        b AS (SELECT crawl_id, regexp_replace(t, '(?m)^(#{1,6} .*?)<sup>.*?</sup>', '\1', 'g') AS t FROM a),
-        c AS (SELECT crawl_id, regexp_replace(regexp_replace(t, '(?m)^(?:import|export)\s.*$\n?', '', 'g'), '(?m)^[ \t]*</?[A-Z][^>\n]*/?>[ \t]*$\n?', '', 'g') AS t FROM b),
-        d AS (SELECT crawl_id, regexp_replace(regexp_replace(regexp_replace(t, '\{`([^`\n]*)`\}', '\1', 'g'), '\{"([^"\n]*)"\}', '\1', 'g'), '\{''([^''\n]*)''\}', '\1', 'g') AS t FROM c)
-        SELECT DISTINCT crawl_id, sha256(regexp_replace(t, '\{[^{}\n]*\}', '', 'g')) AS sha FROM d""",
+        c AS (SELECT crawl_id, regexp_replace(regexp_replace(t, '(?ms)(^```.*?^```[^\n]*$)|^(?:import|export)\s[^\n]*$\n?', '\1', 'g'), '(?ms)(^```.*?^```[^\n]*$)|^[ \t]*</?[A-Z][^>\n]*/?>[ \t]*$\n?', '\1', 'g') AS t FROM a),
+        d AS (SELECT crawl_id, regexp_replace(regexp_replace(regexp_replace(t, '(?ms)(^```.*?^```[^\n]*$)|\{`([^`\n]*)`\}', '\1\2', 'g'), '(?ms)(^```.*?^```[^\n]*$)|\{"([^"\n]*)"\}', '\1\2', 'g'),
+          '(?ms)(^```.*?^```[^\n]*$)|\{''([^''\n]*)''\}', '\1\2', 'g') AS t FROM c)
+        SELECT DISTINCT crawl_id, sha256(regexp_replace(regexp_replace(t, '(?ms)(^```.*?^```[^\n]*$)|\{[^{}\n]*\}', '\1', 'g'), '(?m)^(#{1,6} .*?)<sup>.*?</sup>', '\1', 'g')) AS sha FROM d""",
     "url_columns": rf"""WITH p AS (SELECT DISTINCT url, {_CANON} AS canonical, {_PATH} AS path FROM pages WHERE url IS NOT NULL),
         s AS (SELECT *, string_split(lower(path), '/') AS seg, string_split(path, '/')[-1] AS last FROM p)
         SELECT url, canonical, regexp_replace(canonical, '/+$', '') AS dedup_key,
@@ -512,5 +578,13 @@ QUERIES = {
         link_graph,
         crawl_levels,
         concatenated_pages,
+        built_chunks,
+        routed_markdown,
+        cached_summaries,
+        sampled_chunks,
+        markdown_lint,
+        event_latency,
+        event_spread,
+        query_violations,
     )
 }
