@@ -181,6 +181,6 @@ def share_report(pieces: DataFrame, targets: DataFrame) -> DataFrame:
     """Wanted and actual share per listed source; 0 where a source gave nothing."""
     got = pieces.groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("n"))
     joined = targets.groupBy("source").agg(F.max("target_share").alias("wanted_share"), F.min("max_repeats").alias("max_repeats")).join(got, "source", "left")
-    tokens = F.coalesce(F.col("n"), F.lit(0))
-    every = joined.withColumn("n_tokens", tokens).crossJoin(F.broadcast(got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))))
-    return every.select("source", "wanted_share", F.coalesce(F.try_divide("n_tokens", "all"), F.lit(0.0)).alias("actual_share"), "n_tokens", "max_repeats")
+    given = joined.withColumn("n_tokens", F.coalesce(F.col("n"), F.lit(0)))
+    whole = F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # a row a source
+    return given.select("source", "wanted_share", F.coalesce(F.try_divide("n_tokens", whole), F.lit(0.0)).alias("actual_share"), "n_tokens", "max_repeats")
