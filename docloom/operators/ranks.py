@@ -43,3 +43,15 @@ def order_statistics(df: DataFrame, by: list[str], value: str, picks: dict[str,
     run = F.sum("c").over(Window.partitionBy(*by, "b", "k").orderBy("v")) + F.col("before")
     found = inside.withColumn("upto", run).where(F.col("k.at") < F.col("upto")).groupBy(*by, "n", "k.name").agg(F.min("v").alias("v"))
     return found.groupBy(*by, "n").agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in picks])
+
+
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, into: str, span: int = 4096) -> DataFrame:
+    """Sum of ``value`` up to and with each row, in order of the whole number ``order`` (unique within ``by``).
+
+    Rows are summed within spans of the order, and the spans' sums are what is run over.
+    """
+    cut = df.withColumn("__span", F.floor(F.col(order) / span))
+    inner = cut.withColumn(into, F.sum(value).over(Window.partitionBy(*by, "__span").orderBy(order)))
+    spans = cut.groupBy(*by, "__span").agg(F.sum(value).alias("__s"))
+    before = spans.withColumn("__before", F.sum("__s").over(Window.partitionBy(*by).orderBy("__span")) - F.col("__s")).drop("__s")
+    return inner.join(before, [*by, "__span"]).withColumn(into, F.col(into) + F.col("__before")).drop("__span", "__before")

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..functions.html import html_to_markdown
 from ..operators import evaluation, fusion, packs, search
-from ..operators.lint import lint
+from ..operators.lint import CHECKS, lint
 from ..operators.ranks import order_statistics
 from ..session import table, written
 from ..sources.indexes import split_concatenated
@@ -441,7 +441,40 @@ _CANON = r"""CASE WHEN regexp_matches(url, '(?i)^https?://') THEN lower(regexp_e
 _NAMES = ", ".join(f"'{w}'" for w in U.CRAWL_NOISE)
 _ASSET = ", ".join(f"'{w}'" for w in U.ASSETS)
 
+_LINKS = r"""WITH l AS (SELECT final_url, regexp_extract_all(text, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hrefs FROM fetched_html),
+  x AS (SELECT final_url, unnest(hrefs) AS href FROM l),
+  r AS (SELECT final_url AS base, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(final_url, '(?i)^(https?://[^/?#]+)', 1) || href END AS url FROM x)"""
+_LINT = ", ".join(f"('{n}', '{p}')" for n, p in CHECKS.items())
+
 ORACLES = {
+    "link_graph": rf"""{_LINKS}, t AS (SELECT base, url, regexp_replace({_CANON}, '/+$', '') AS to_key, string_split(lower({_PATH}), '/') AS seg, lower(string_split({_PATH}, '/')[-1]) AS last FROM r),
+        f AS (SELECT DISTINCT base AS url, url AS to_url, to_key FROM t WHERE to_key IS NOT NULL
+          AND NOT list_has_any(list_concat(seg, list_transform(seg, lambda x: regexp_replace(x, '(.)\.[^.]+$', '\1'))), [{_NAMES}])
+          AND NOT (regexp_extract(last, '\.([^.]+)$', 1) IN ({_ASSET}) OR last = 'objects.inv'))
+        SELECT DISTINCT regexp_replace({_CANON}, '/+$', '') AS from_key, to_url, to_key FROM f WHERE {_CANON} IS NOT NULL""",
+    "markdown_lint": rf"""WITH c AS (SELECT DISTINCT crawl_id, content FROM crawled_pages), s AS (SELECT crawl_id, content, regexp_split_to_array(content, '\r?\n') AS l FROM c),
+        e AS (SELECT crawl_id, content, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM s),
+        m AS (SELECT *, starts_with(ltrim(line), '```') AS mark, count(*) FILTER (starts_with(ltrim(line), '```')) OVER (PARTITION BY crawl_id, content ORDER BY i) AS n FROM e),
+        k AS (SELECT * FROM (VALUES {_LINT}) v(finding, pattern))
+        SELECT finding, count(DISTINCT (crawl_id, i)) AS n_lines, count(DISTINCT crawl_id) AS n_pages FROM m, k WHERE NOT mark AND n % 2 = 0 AND regexp_matches(line, pattern) GROUP BY 1""",
+    "normalized_text": r"""WITH a AS (SELECT doc_id, nfc_normalize(regexp_replace(regexp_replace(text, '[\x{00a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]', ' ', 'g'),
+          '(?ms)(^```[^\n]*\n(?:.*?^```[^\n]*$|.*\z))|<[^>]+>', '\1', 'g')) AS t FROM documents),
+        b AS (SELECT doc_id, trim(regexp_replace(t, '\n(?:[ \t]*\n){2,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM a)
+        SELECT doc_id, 'sha256:' || sha256(t) AS hash, length(t) AS n_chars FROM b""",
+    "summaries": rf"""WITH {_CH}, s AS (SELECT chunk_id, heading_path, content, string_split(content, chr(10)) AS l FROM ch),
+        e AS (SELECT chunk_id, generate_subscripts(l, 1) AS i, trim(unnest(l), ' ') AS t FROM s),
+        m AS (SELECT *, starts_with(t, '```') AS mark, count(*) FILTER (starts_with(t, '```')) OVER (PARTITION BY chunk_id ORDER BY i) AS n FROM e),
+        o AS (SELECT chunk_id, max(i) FILTER (mark AND n % 2 = 1) AS opened FROM m GROUP BY 1),
+        a AS (SELECT m.chunk_id, count(*) FILTER (NOT mark) AS kept, count(*) FILTER (NOT mark AND n % 2 = 1) AS code,
+          trim(coalesce(string_agg(t, ' ' ORDER BY i) FILTER (NOT mark AND n % 2 = 0 AND NOT starts_with(t, '#') AND NOT regexp_matches(t, '^(?:[-*+]|\d+\.)\s+')), ''), ' ') AS said,
+          arg_min(t, i) FILTER (NOT mark AND n % 2 = 1 AND i > opened AND regexp_matches(t, '^(?:def |class |function |export )')) AS define,
+          arg_min(t, i) FILTER (NOT mark AND starts_with(t, '# ')) AS heading FROM m JOIN o USING (chunk_id) GROUP BY 1),
+        f AS (SELECT *, CASE WHEN regexp_extract(said, '(?s)^([^.!?]*[.!?])', 1) <> '' THEN regexp_extract(said, '(?s)^([^.!?]*[.!?])', 1) ELSE said END AS st FROM a),
+        g AS (SELECT *, substring(st, 1, 200) AS head, length(substring(st, 1, 200)) - length(string_split(substring(st, 1, 200), ' ')[-1]) AS at_ FROM f),
+        h AS (SELECT g.*, string_split(coalesce(s.heading_path, ''), ' / ') AS parts, CASE WHEN said <> '' THEN CASE WHEN length(st) <= 200 THEN st WHEN at_ - 1 > 100 THEN substring(head, 1, at_ - 1) || '...' ELSE head || '...' END
+          ELSE coalesce(substring(heading, 3), CASE WHEN length(trim(content, ' ')) > 200 THEN substring(trim(content, ' '), 1, 200) || '...' ELSE trim(content, ' ') END) END AS txt FROM g JOIN s USING (chunk_id))
+        SELECT chunk_id, CASE WHEN code * 2 > kept AND define IS NOT NULL THEN define WHEN len(parts) < 2 OR parts[-1] = '' THEN txt WHEN length(parts[-1]) > 60 THEN parts[-1]
+          WHEN starts_with(txt, parts[-1]) THEN txt ELSE parts[-1] || ': ' || txt END AS summary FROM h""",
     "cached_summaries": f"""WITH {_CH}, k AS (SELECT content_hash, min(summary) AS cached FROM ch WHERE content_hash IS NOT NULL GROUP BY 1)
         SELECT chunk_id, md5(coalesce(summary, cached, '')) AS summary_md5 FROM ch LEFT JOIN k USING (content_hash)""",
     "sampled_chunks": f"""WITH {_CH} SELECT chunk_id, package, substring(content, 1, 2000) AS content FROM ch WHERE length(content) >= 100

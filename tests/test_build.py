@@ -88,3 +88,11 @@ def test_removal_and_sample(spark, tmp_path):
     assert {r.package for r in spark.read.parquet(store).collect()} == {"b"}
     assert {r.chunk_id for r in sampled(df, 5).collect()} == {1, 2} and sampled(df, 1).count() == 1
     assert content_hash(F.lit("x")) is not None
+
+
+def test_running_sum(spark):
+    from docloom.operators.ranks import running_sum
+
+    df = spark.range(200).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("v"))
+    got = running_sum(df, ["g"], "o", "v", "s", span=10).collect()
+    assert len(got) == 200 and all(r.s == sum(i % 7 for i in range(r.o + 1) if i % 3 == r.g) for r in got)
