@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running_sum
 from ..session import written
 from .tokens import token_sizes
 
@@ -138,18 +139,17 @@ def mix(
 
         return run
 
-    upto = Window.partitionBy("kind").orderBy("shard")  # a row a shard and source
     caps = spark.createDataFrame([(i, names[i], int(room[i])) for i in range(len(names))], "kind long, source string, room long")
     shards = spark.range(n_shards).select(F.col("id").alias("shard"), F.least(F.lit(slots_per_shard).cast("long"), F.lit(slots) - F.col("id") * slots_per_shard).alias("n_slots"))
     first = written(shards.mapInPandas(draw(p, 1, "n_slots"), "shard long, kind long, n long"))
-    ends = first.join(F.broadcast(caps), "kind").withColumn("end", F.sum("n").over(upto))
+    ends = running_sum(first.join(F.broadcast(caps), "kind"), ["kind"], "shard", "n", "end")
     fits = ends.withColumn("kept", F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), F.col("room") - (F.col("end") - F.col("n")))))
     # what a source could not give is drawn once more from those that are not at their limit
     slack = np.where(room > np.array([given[s] for s in names]) * 1.02 + 8, p, 0.0)
     over = fits.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("n_slots")).where("n_slots > 0")
     again = over.mapInPandas(draw(slack / slack.sum(), 2, "n_slots"), "shard long, kind long, n long") if slack.sum() > 0 else spark.createDataFrame([], "shard long, kind long, n long")
     drawn = fits.select("shard", "kind", F.col("kept").alias("n")).union(again).groupBy("shard", "kind").agg(F.sum("n").alias("n"))
-    numbered = drawn.join(F.broadcast(caps), "kind").withColumn("end", F.sum("n").over(upto)).withColumn("start", F.col("end") - F.col("n"))
+    numbered = running_sum(drawn.join(F.broadcast(caps), "kind"), ["kind"], "shard", "n", "end").withColumn("start", F.col("end") - F.col("n"))
     size = np.array([have[s][0] for s in names], "int64")
 
     @F.pandas_udf("block_no long, round int")
