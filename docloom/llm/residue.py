@@ -48,15 +48,15 @@ PLACEHOLDER = re.compile(
             r"<%[^<>]*%>",  # <%= name %>
             r"[$#]\{[\w.\s-]+\}",  # ${name} #{name}
             r"%%\w+%%|@@\w+@@|\[\[\s*\w+\s*\]\]",
-            r"\b__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__\b|(?<![A-Za-z])__[A-Z][A-Z0-9_]*[A-Z]\b",
+            r"(?-i:\b__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__\b|(?<![A-Za-z])__[A-Z][A-Z0-9_]*[A-Z]\b)",
             r"(?<![\w{$#%])\{[a-z][a-z_]*\}(?!\})",  # {first_name}
             r"\[(?:insert|enter|add|your|replace)\b[^\]]*\](?!\()",
-            r"(?:<|&lt;)\s*(?:placeholder|insert[^<>&]*|your[^<>&]*|[A-Z]{3,}(?:[ _][A-Z]+)*)\s*(?:>|&gt;)",
-            r"(?:^|(?<=[.!?:] ))(?:TODO|FIXME|TBD|TBC|XXX)\b\s*(?:[:–—-]|$)",
+            r"(?:<|&lt;)\s*(?:placeholder|insert[^<>&]*|your[^<>&]*|(?-i:[A-Z]{3,}(?:[ _][A-Z]+)*))\s*(?:>|&gt;)",
+            r"(?:^|(?<=[.!?:] ))(?-i:TODO|FIXME|TBD|TBC|XXX)\b\s*(?:[:–—-]|$)",
             r"\(replace this text\.?\)|\breplace this text\b",
             r"\[object \w+\]",
             r"\b(?:hello|hi|dear|welcome|value:|total:|name:|is|of) (?:undefined|null|nan)\b(?! (?:if|when|unless|in|by|means|becomes|as))",
-            r"^(?:undefined|null|nan|none)\.?$",
+            r"^(?:undefined|null|nan)\.?$",
         ]
     ),
     re.I,

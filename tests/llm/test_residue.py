@@ -35,6 +35,10 @@ def page(body):
         ("The guide says “TODO: write this section” where text is missing.", ""),
         ("A value of `c` becomes NaN in the reader.", ""),
         ("[Overview](#overview)", ""),
+        ("Use List<String> or Map<Key, Value> here.", ""),
+        ("The __init__ method runs before __PRODUCT_NAME.", "placeholder"),
+        ("The __init__ method runs first.", ""),
+        ("None.", ""),
         ("Access denied is logged when the planner sees an expired token.", ""),
     ],
 )
