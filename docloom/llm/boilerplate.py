@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 WORDS = 4096
 MODEL = "models/boilerplate.npz"
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+#: scripts without spaces are read in pairs of characters
+_DENSE = "\u3040-\u30ff\u3400-\u9fff"
+_TOKEN = re.compile(rf"[{_DENSE}]{{1,2}}|[^\W\d_{_DENSE}]+|\d+|[^\w\s]")
 _KIND = re.compile(r"(#{1,6}(?=\s))|([-*+•]\s)|(\d+[.)]\s)|(>)|(\|.*\|$)|([\[☰‹←])")
 _LINK = re.compile(r"\]\((.)")
 #: sizes of the tag path's parts, in the order block_tags() fills them
