@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 CUTS = (1, 5, 10, 20)
 
 
@@ -63,3 +65,87 @@ def reference_drift(gold: DataFrame, chunks: DataFrame) -> DataFrame:
         "ref_id",
         F.when(F.col("b").isNull() | F.col("b.chunk_id").isNull(), "missing").when(F.col("b.same"), "ok").when(F.col("b.anchored"), "hash mismatch").otherwise("anchor drift").alias("state"),
     )
+
+
+def url_suffix(url: Column) -> Column:
+    """What a moved page's URL still ends with: the path behind the host, from its slash on, in lower case."""
+    behind = F.regexp_replace(F.regexp_replace(url, r"^/+", ""), r"^.*?//", "")
+    return F.lower(F.concat(F.lit("/"), F.regexp_replace(behind, r"^[^/]*/", "")))
+
+
+def url_suffixes(url: Column) -> Column:
+    """All ends of ``url`` that begin with a slash, in lower case: what ``url_suffix`` can be an end of."""
+    parts = F.split(F.lower(url), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/")))
+    return F.when(F.size(parts) > 1, ends)
+
+
+def _looked_up(refs: DataFrame, keyed: DataFrame, found_by: str) -> DataFrame:
+    """``refs`` with the chunk of their ``(heading_path, k)``: one with the stored hash, else the smallest id.
+
+    A frequent heading is one row a key and hash, then one row a key, before anything is joined.
+    """
+    per = keyed.groupBy("heading_path", "k", F.col("content_hash").alias("now_hash")).agg(F.min("chunk_id").alias("id"))
+    first = per.groupBy("heading_path", "k").agg(F.min(F.struct("id", "now_hash")).alias("first"))
+    same = per.select("heading_path", "k", F.col("now_hash").alias("content_hash"), F.col("id").alias("same_id"))
+    got = refs.join(first, ["heading_path", "k"], "left").join(same, ["heading_path", "k", "content_hash"], "left")
+    return got.select(
+        "ref_id",
+        "source_url",
+        "heading_path",
+        "package",
+        "content_hash",
+        F.when(F.col("first").isNotNull(), found_by).alias("found_by"),
+        F.coalesce("same_id", "first.id").alias("chunk_id"),
+        F.when(F.col("same_id").isNotNull(), F.col("content_hash")).otherwise(F.col("first.now_hash")).alias("now_hash"),
+    )
+
+
+def reference_cascade(gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunk and state of stored references ``(ref_id, source_url, heading_path, package, content_hash, anchor)``.
+
+    A reference's chunk has its heading and, tried in this order, its URL, a URL that ends with its path (another
+    host or version prefix; without regard to case), or any URL in its package, in all packages where it names
+    none.  Among several the one with the stored hash is taken, else the smallest id.  ``found_by`` says which
+    step it was; null with state 'missing' where none finds a chunk, as for a null heading.  The other states:
+    ok, hash mismatch, anchor drift (the text does not contain the anchor), or both.  Null and empty URLs, packages,
+    hashes and anchors are not compared.
+    """
+    empty = lambda c: F.nullif(F.col(c), F.lit(""))
+    refs = gold.select("ref_id", empty("source_url").alias("source_url"), "heading_path", empty("package").alias("package"), empty("content_hash").alias("content_hash"))
+    places = chunks.select("chunk_id", "source_url", "heading_path", "package", "content_hash").where("heading_path is not null")
+
+    done = []
+    todo = refs
+    for found_by, of_ref, of_chunk in [
+        ("url", F.col("source_url"), F.col("source_url")),
+        ("suffix", url_suffix(F.col("source_url")), F.explode(url_suffixes(F.col("source_url")))),
+        ("heading", F.coalesce("package", F.lit("")), F.explode(F.array_distinct(F.array(F.coalesce("package", F.lit("")), F.lit(""))))),
+    ]:
+        # the later steps need the headings that are still sought only
+        near = places if found_by == "url" else places.join(todo.select("heading_path").distinct(), "heading_path", "left_semi")
+        got = written(_looked_up(todo.withColumn("k", of_ref), near.select("chunk_id", "heading_path", "content_hash", of_chunk.alias("k")), found_by))
+        done.append(got.where("found_by is not null"))
+        todo = got.where("found_by is null").select(*refs.columns)
+    found = done[0].union(done[1]).union(done[2])
+
+    # only the chunk's own text can tell whether it contains the anchor
+    texts = chunks.select("chunk_id", F.col("content_hash").alias("now_hash"), F.trim(F.regexp_replace("content", r"\s+", " ")).alias("text"))
+    asked = found.join(gold.where("anchor <> ''").select("ref_id", "anchor"), "ref_id").select("ref_id", F.col("chunk_id").alias("of"), F.col("now_hash").alias("of_hash"), "anchor")
+    at = asked.join(texts, (F.col("of") == F.col("chunk_id")) & F.col("of_hash").eqNullSafe(F.col("now_hash")), "left")
+    held = at.groupBy("ref_id").agg(F.coalesce(F.max(F.contains("text", "anchor")), F.lit(False)).alias("held"))
+    moved = F.coalesce(F.col("content_hash") != F.nullif(F.col("now_hash"), F.lit("")), F.lit(False))
+    lost = ~F.coalesce("held", F.lit(True))  # without an anchor there is nothing to be lost
+    state = F.when(F.col("chunk_id").isNull(), "missing").when(moved & lost, "hash mismatch, anchor drift").when(moved, "hash mismatch").when(lost, "anchor drift").otherwise("ok")
+    missing = todo.withColumns({"found_by": F.lit(None).cast("string"), "chunk_id": F.lit(None).cast("long"), "now_hash": F.lit(None).cast("string")})
+    return found.unionByName(missing).join(held, "ref_id", "left").select("ref_id", "found_by", "chunk_id", state.alias("state"))
+
+
+def gold_chunks(gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """All chunks ``(ref_id, chunk_id)`` of references ``(ref_id, package, source_path, heading_path)``: same package and heading, a URL that ends with the path.
+
+    A reference without any has one row with a null chunk.  A null URL ends with an empty path alone.
+    """
+    c = chunks.select("chunk_id", "package", "heading_path", F.coalesce("source_url", F.lit("")).alias("url"))
+    got = gold.select("ref_id", "package", "heading_path", "source_path").join(c, ["package", "heading_path"]).where(F.endswith("url", "source_path")).select("ref_id", "chunk_id")
+    return gold.select("ref_id").distinct().join(got.distinct(), "ref_id", "left")

@@ -184,6 +184,37 @@ def reference_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.reference_drift(gold, c)
 
 
+def _moved_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks, and their places as references stored under another host, without a version prefix, or under a URL that is gone."""
+    c = written(_chunks(spark, sf_dir))
+    n, url = F.col("chunk_id"), F.col("source_url")
+    moved = (
+        F.when(n % 5 == 1, F.regexp_replace(url, "^https?://[^/]+", "http://old.example"))
+        .when(n % 5 == 2, F.regexp_replace(url, "^(https?://[^/]+)/[^/]+/", "$1/"))
+        .when(n % 5 == 3, F.lit("https://gone.example/nowhere/at/all"))
+        .otherwise(url)
+    )
+    gold = c.select(
+        n.alias("ref_id"),
+        moved.alias("source_url"),
+        F.when(n % 9 == 0, F.concat("heading_path", F.lit("?"))).otherwise(F.col("heading_path")).alias("heading_path"),
+        F.when(n % 4 > 0, F.col("package")).alias("package"),
+        F.when(n % 7 == 0, "sha256:gone").otherwise(F.col("content_hash")).alias("content_hash"),
+        F.when(n % 11 == 0, "no such words").otherwise(T.anchor(F.col("content"))).alias("anchor"),
+    )
+    return gold, c
+
+
+def reference_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.reference_cascade(*_moved_references(spark, sf_dir))
+
+
+def reference_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same references by package, heading and the path behind the host."""
+    gold, c = _moved_references(spark, sf_dir)
+    return evaluation.gold_chunks(gold.withColumn("source_path", F.regexp_replace("source_url", "^https?://[^/]+/", "")), c)
+
+
 # -- packs --------------------------------------------------------------------------------------------------
 
 
@@ -381,6 +412,12 @@ def _tok(column: str) -> str:
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _CH = "ch AS (SELECT DISTINCT id AS chunk_id, package, version, heading_path, summary, content, content_hash, source_url FROM chunks)"
+_MOVED = r"""c AS (SELECT *, trim(regexp_replace(content, '\s+', ' ', 'g')) AS flat FROM ch),
+g AS (SELECT chunk_id AS ref_id, CASE chunk_id % 5 WHEN 1 THEN regexp_replace(source_url, '^https?://[^/]+', 'http://old.example')
+    WHEN 2 THEN regexp_replace(source_url, '^(https?://[^/]+)/[^/]+/', '\1/') WHEN 3 THEN 'https://gone.example/nowhere/at/all' ELSE source_url END AS source_url,
+  CASE WHEN chunk_id % 9 = 0 THEN heading_path || '?' ELSE heading_path END AS heading_path, CASE WHEN chunk_id % 4 > 0 THEN package END AS package,
+  CASE WHEN chunk_id % 7 = 0 THEN 'sha256:gone' ELSE content_hash END AS content_hash,
+  CASE WHEN chunk_id % 11 = 0 THEN 'no such words' ELSE substring(regexp_replace(trim(content), '\s+', ' ', 'g'), 1, 80) END AS anchor FROM ch)"""
 _LEAF = "string_split(heading_path, ' / ')[-1]"
 _INDEX = f"""{_CH},
 tok AS ({' UNION ALL '.join(f"SELECT chunk_id, unnest({_tok(c)}) AS term, {w} AS w FROM ch" for c, w in search.WEIGHTS.items())}),
@@ -523,6 +560,19 @@ ORACLES = {
           row_number() OVER (PARTITION BY ref_id ORDER BY coalesce(c.content_hash = g.content_hash, false) DESC, c.chunk_id) AS n
           FROM g LEFT JOIN c ON c.source_url = g.source_url AND c.heading_path = g.heading_path)
         SELECT ref_id, CASE WHEN chunk_id IS NULL THEN 'missing' WHEN same THEN 'ok' WHEN anchored THEN 'hash mismatch' ELSE 'anchor drift' END AS state FROM j WHERE n = 1""",
+    "reference_cascade": rf"""WITH {_CH}, {_MOVED},
+        j AS (SELECT g.ref_id, c.chunk_id, CASE WHEN c.source_url = g.source_url THEN 1
+            WHEN ends_with(lower(c.source_url), lower('/' || regexp_replace(regexp_replace(g.source_url, '^https?://', ''), '^[^/]*/', ''))) THEN 2
+            WHEN g.package IS NULL OR c.package = g.package THEN 3 END AS step,
+          c.content_hash AS now_hash, g.content_hash AS old_hash, g.anchor, c.flat FROM g JOIN c ON c.heading_path = g.heading_path),
+        b AS (SELECT * FROM j WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY step, coalesce(now_hash = old_hash, false) DESC, chunk_id) = 1),
+        s AS (SELECT *, coalesce(now_hash <> old_hash, false) AS moved, anchor <> '' AND NOT contains(flat, anchor) AS lost FROM b)
+        SELECT g.ref_id, CASE step WHEN 1 THEN 'url' WHEN 2 THEN 'suffix' WHEN 3 THEN 'heading' END AS found_by, s.chunk_id,
+          CASE WHEN s.chunk_id IS NULL THEN 'missing' WHEN moved AND lost THEN 'hash mismatch, anchor drift' WHEN moved THEN 'hash mismatch' WHEN lost THEN 'anchor drift' ELSE 'ok' END AS state
+        FROM g LEFT JOIN s ON s.ref_id = g.ref_id""",
+    "reference_chunks": rf"""WITH {_CH}, {_MOVED}, m AS (SELECT g.ref_id, c.chunk_id FROM g JOIN c ON c.package = g.package AND c.heading_path = g.heading_path
+          AND ends_with(coalesce(c.source_url, ''), regexp_replace(g.source_url, '^https?://[^/]+/', '')))
+        SELECT g.ref_id, m.chunk_id FROM g LEFT JOIN m ON m.ref_id = g.ref_id""",
     "pack_hash_chain": """SELECT package, version, 'sha256:' || sha256(string_agg(content, chr(10) ORDER BY id, content)) AS pack_hash
         FROM (SELECT DISTINCT package, version, id, coalesce(content, '') AS content FROM chunks) GROUP BY 1, 2""",
     "pack_counts": """SELECT package, version, count(DISTINCT id) AS n_chunks, count(DISTINCT page_id) AS n_pages, sum(tokens)::BIGINT AS n_tokens
@@ -591,6 +641,8 @@ QUERIES = {
         metric_slices,
         question_tiers,
         reference_drift,
+        reference_cascade,
+        reference_chunks,
         pack_hash_chain,
         pack_counts,
         chunk_size_stats,

@@ -43,6 +43,52 @@ def test_reference_drift(spark):
     assert {r.ref_id: r.state for r in E.reference_drift(gold, chunks).collect()} == {1: "ok", 2: "hash mismatch", 3: "anchor drift", 4: "missing", 5: "missing"}
 
 
+def test_reference_cascade(spark):
+    chunks = spark.createDataFrame(
+        [
+            (1, "https://h/v2/guide/a", "h", "p", "x", "some  text\nof x"),
+            (2, "https://h/v2/guide/a", "h", "p", "y", "text of y"),
+            (3, "https://h/b", "h", "q", "z", "text of z"),
+            (4, None, "h4", "p", "n", None),
+            (5, "https://h/xguide/a", "h5", "p", "w", "text of w"),
+            (6, "bare", "h6", "p", "v", "text of v"),
+        ],
+        "chunk_id long, source_url string, heading_path string, package string, content_hash string, content string",
+    )
+    gold = spark.createDataFrame(
+        [
+            (1, "https://h/v2/guide/a", "h", "p", "y", "of y"),
+            (2, "https://old/guide/A", "h", "p", "y", "text of"),  # another host, no version prefix
+            (3, "https://old/guide/a", "h", "p", "gone", "text of x"),
+            (4, None, "h4", "p", "n", ""),
+            (5, "https://h/none", "h", "q", "gone", "not there"),
+            (6, "https://h/none", "h", None, "z", "of z"),
+            (7, "https://h/none", "h", "r", "z", "of z"),
+            (8, None, None, None, "z", "of z"),
+            (9, "https://old/guide/a", "h5", "p", "w", None),  # ends alike, but not from a slash on
+            (10, "", "h4", "p", None, "of"),
+            (11, "https://h/bare", "h6", "r", "v", None),
+        ],
+        "ref_id long, source_url string, heading_path string, package string, content_hash string, anchor string",
+    )
+    assert {r.ref_id: (r.found_by, r.chunk_id, r.state) for r in E.reference_cascade(gold, chunks).collect()} == {
+        1: ("url", 2, "ok"),
+        2: ("suffix", 2, "ok"),
+        3: ("suffix", 1, "hash mismatch"),
+        4: ("heading", 4, "ok"),
+        5: ("heading", 3, "hash mismatch, anchor drift"),
+        6: ("heading", 3, "ok"),
+        7: (None, None, "missing"),
+        8: (None, None, "missing"),
+        9: ("heading", 5, "ok"),
+        10: ("heading", 4, "anchor drift"),
+        11: (None, None, "missing"),
+    }
+    paths = spark.createDataFrame([(1, "p", "guide/a", "h"), (2, "q", "guide/a", "h"), (3, "p", "", "h4"), (4, "p", "guide/a", "h5")], "ref_id long, package string, source_path string, heading_path string")
+    assert sorted((r.ref_id, r.chunk_id) for r in E.gold_chunks(paths, chunks).collect() if r.chunk_id) == [(1, 1), (1, 2), (3, 4), (4, 5)]
+    assert [r.ref_id for r in E.gold_chunks(paths, chunks).where("chunk_id is null").collect()] == [2]
+
+
 def test_cosine_blocks_are_exact(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(90, 8)).round(3)
