@@ -1,9 +1,11 @@
 """Pages that hold template residue, error messages, script demands or filler instead of content.
 
 A page is read as its reader sees it: markup, scripts, comments, code and site furniture are left out.  Each
-remaining block is masked (numbers, addresses, dates) and classified by phrase and placeholder rules.  Blocks
-that look like messages are grouped by the hash of their masked text over all pages; a weak phrase counts as
-a message only if the same text stands on several sites, a strong one always.  A page is a case if its
+remaining block is masked (numbers, addresses, dates), classified by phrase and placeholder rules, and grouped
+by the hash of its masked text over all pages.  A strong phrase is a message always, a weak one if the same text
+stands on several sites.  A text of any wording and length is one if it stands on several sites, on pages of
+several names (so that a mirrored page is none), and makes up, alone or with other such texts, nearly every page it
+stands on (so that a note or notice among real text is none).  A page is a case if its
 article consists of messages alone (a dump in a code block beside them counts for nothing), or if an unfilled placeholder, an authoring reminder or a failed value is
 left anywhere in the article.
 """
@@ -24,6 +26,8 @@ from ..session import written
 from .boilerplate import furniture_lines
 
 MIN_SOURCES = 3
+#: of the pages a recurring text stands on, so many must hold recurring texts alone for it to be a message
+MIN_WHOLE = 0.8
 
 _DROP = re.compile(r"<!--.*?-->|<(script|style|template|nav|header|footer|aside|svg|head|select|textarea)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)</noscript\s*>", re.S | re.I)
@@ -177,33 +181,40 @@ def markdown_lines(text: str) -> list[tuple[int, bool, str]]:
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sources, texts = (batch.column(i).to_pylist() for i in range(3))
+        ids, sources, names, texts = (batch.column(i).to_pylist() for i in range(4))
         kept: list[tuple[int, list]] = []
         markdown: list[tuple[int, list]] = []
         for i, text in enumerate(texts):
             if not text:
                 continue
             if _IS_HTML.match(text):
-                found = [(head, b, classify(b)) for head, b in html_blocks(text)]
-                if any(k for _, _, k in found):
-                    kept.append((i, found))
+                kept.append((i, [(head, b, classify(b)) for head, b in html_blocks(text)]))
             else:
-                found = [(n, head, b, classify(b)) for n, head, b in markdown_lines(text)]
-                if any(k for *_, k in found):
-                    markdown.append((i, found))
-        # only pages with some suspicious line need their furniture taken off; what stands in the article's place stays
+                markdown.append((i, [(n, head, b, classify(b)) for n, head, b in markdown_lines(text)]))
+        # every page's furniture is taken off, as any text may turn out to recur; what stands in the article's place stays
         for (i, found), gone in zip(markdown, furniture_lines([texts[i] for i, _ in markdown])):
             drop = set(gone)
             kept.append((i, [(head, b, k) for n, head, b, k in found if n not in drop or k not in ("", "weak")]))
-        rows = {k: [] for k in ("row_id", "text_hash", "source", "placeholder", "n_real", "messages")}
+        rows = {k: [] for k in ("row_id", "text_hash", "source", "name", "placeholder", "n_own", "blocks")}
         for i, found in kept:
-            messages = [{"hash": xxhash.xxh64_intdigest(mask(b)) - 2**63, "kind": k} for head, b, k in found if k and k != "placeholder"]
+            said = {}
+            n_own = 0
+            for head, b, k in found:
+                if k == "placeholder" or not k and (head or b == "`c`"):
+                    continue
+                m = mask(b)
+                if not k and (not m or "`c`" in b):  # what its code says is not compared
+                    n_own += 1
+                else:
+                    h = xxhash.xxh64_intdigest(m) - 2**63
+                    said[h] = min(k, said.get(h, k))
             rows["row_id"].append(ids[i])
             rows["text_hash"].append(xxhash.xxh64_intdigest(texts[i]) - 2**63)
             rows["source"].append(sources[i])
+            rows["name"].append(names[i])
             rows["placeholder"].append(any(k == "placeholder" for *_, k in found))
-            rows["n_real"].append(sum(not head and not k and b != "`c`" for head, b, k in found))
-            rows["messages"].append(messages)
+            rows["n_own"].append(n_own)
+            rows["blocks"].append([{"hash": h, "kind": k} for h, k in said.items()])
         yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
 
 
@@ -212,9 +223,10 @@ _SCHEMA = pa.schema(
         ("row_id", pa.int64()),
         ("text_hash", pa.int64()),
         ("source", pa.string()),
+        ("name", pa.string()),
         ("placeholder", pa.bool_()),
-        ("n_real", pa.int64()),
-        ("messages", pa.list_(pa.struct([("hash", pa.int64()), ("kind", pa.string())]))),
+        ("n_own", pa.int64()),
+        ("blocks", pa.list_(pa.struct([("hash", pa.int64()), ("kind", pa.string())]))),
     ]
 )
 
@@ -222,36 +234,40 @@ _SCHEMA = pa.schema(
 def residue_pages(tables: list[tuple[str, DataFrame, str, str, str]], min_sources: int = MIN_SOURCES) -> DataFrame:
     """Distinct ``(src_table, row_id)`` of the pages that are residue.
 
-    ``tables`` lists ``(src_table, df, row_id, url, text)``; messages are grouped over all of them, by the
-    host of ``url`` (a null url is a site of its own).  Null and empty texts are no cases, and rows repeated
+    ``tables`` lists ``(src_table, df, row_id, url, text)``; blocks are grouped over all of them, by the
+    host of ``url`` (a null url is a site of its own) and the last part of its path.  Null and empty texts are no cases, and rows repeated
     give one result; an id with several texts is a case if one of them is.
     """
     parts = []
     for name, df, row_id, url, text in tables:
-        rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit("")).alias("source"), F.col(text).alias("text"))
-        ddl = "row_id long, text_hash long, source string, placeholder boolean, n_real long, messages array<struct<hash:long,kind:string>>"
+        path = F.coalesce(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit(""))
+        rows = df.select(
+            F.col(row_id).cast("long").alias("row_id"),
+            F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit("")).alias("source"),
+            F.substring_index(F.rtrim(path, F.lit("/")), "/", -1).alias("name"),
+            F.col(text).alias("text"),
+        )
+        ddl = "row_id long, text_hash long, source string, name string, placeholder boolean, n_own long, blocks array<struct<hash:long,kind:string>>"
         parts.append(rows.mapInArrow(_pages, ddl).withColumn("src_table", F.lit(name)))
     pages = parts[0]
     for p in parts[1:]:
         pages = pages.union(p)
     pages = written(pages)
-    alone = pages.where("n_real = 0 and not placeholder and size(messages) > 0").select("src_table", "row_id", "text_hash", "source", F.explode("messages").alias("m"))
-    wide = (
-        pages.select("source", F.explode("messages").alias("m"))
-        .where("m.kind = 'weak'")
-        .select(F.col("m.hash").alias("hash"), "source")
-        .distinct()
-        .groupBy("hash")
-        .agg(F.count(F.lit(1)).alias("n_sources"))
-        .where(F.col("n_sources") >= min_sources)
-    )
-    messages = (
-        alone.select("src_table", "row_id", "text_hash", F.col("m.hash").alias("hash"), (F.col("m.kind") != "weak").alias("strong"))
-        .join(wide, "hash", "left")
-        .groupBy("src_table", "row_id", "text_hash")
-        .agg(F.every(F.col("strong") | F.col("n_sources").isNotNull()).alias("whole"))
-        .where("whole")
-    )
+    page = ["src_table", "row_id", "text_hash"]
+    blocks = pages.select(*page, "source", "name", "placeholder", "n_own", F.explode("blocks").alias("b")).select(*page, "source", "name", "placeholder", "n_own", "b.hash", "b.kind")
+    loose = blocks.where("kind in ('', 'weak')")
+    over = lambda of: loose.select("hash", of).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sources).select("hash")
+    on_sites = over("source").withColumn("sites", F.lit(True))
+    on_names = over("name").withColumn("names", F.lit(True))
+    wide = written(on_sites.join(on_names, "hash", "left"))
+    known = F.when(F.col("kind") == "weak", F.col("sites").isNotNull()).when(F.col("kind") == "", F.col("sites").isNotNull() & F.col("names").isNotNull()).otherwise(True)
+    # pages of which every block is a message or recurs; only their texts can be messages
+    marked = blocks.where("n_own = 0 and not placeholder").join(wide, "hash", "left")
+    whole = written(marked.groupBy(*page).agg(F.every(known).alias("whole"), F.collect_set(F.when(F.col("kind") == "", F.col("hash"))).alias("texts")).where("whole"))
+    texts = whole.select(F.explode("texts").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_whole"))
+    stands = blocks.where("kind = ''").join(texts, "hash").groupBy("hash", "n_whole").agg(F.count_distinct(*page).alias("n_pages"))
+    told = stands.where(F.col("n_whole") >= MIN_WHOLE * F.col("n_pages")).select("hash", F.lit(True).alias("told"))
+    messages = whole.select(*page, F.explode_outer("texts").alias("hash")).join(told, "hash", "left").groupBy(*page).agg(F.every(F.col("hash").isNull() | F.col("told").isNotNull()).alias("all")).where("all")
     return pages.where("placeholder").select("src_table", "row_id").union(messages.select("src_table", "row_id")).distinct()
 
 

@@ -80,3 +80,17 @@ def test_cases(spark):
     left = sorted(r.id for r in without_residue(df, cases, src_table="t", row_id="id").collect())
     assert left == [2, 3, 7, 8, 10, 11, 12, 13]
     assert residue_pages([("t", df.limit(0), "id", "url", "body")]).count() == 0
+
+
+def test_messages_in_unknown_words_are_found_by_recurrence(spark):
+    lost = "Hakemaasi sivua ei ole enää palvelimella, tai sen osoite on muuttunut. Tarkista osoite, siirry etusivulle tai käytä hakua; voit myös kirjoittaa ylläpidolle, jos luulet, että vika on meidän."
+    note = "This option is old and will go with the next release."
+    rows = [(i, f"https://s{i}.example/p{i}", page(f"<main><h1>Hups</h1><p>{lost}</p></main>")) for i in range(4)]
+    rows += [(10 + i, f"https://s{i}.example/q{i}", f"# Hups\n\n{lost}") for i in range(2)]
+    rows += [(20 + i, f"https://m{i}.example/docs/same", page("<main><p>A mirrored page says this on each of its hosts.</p></main>")) for i in range(4)]
+    rows += [(30 + i, f"https://r{i}.example/o{i}", page(f"<main><p>{note}</p><p>Option number {'abcdef'[i]} sets what the reader does first.</p></main>")) for i in range(6)]
+    rows += [(40, "https://r1.example/short", page(f"<main><p>{note}</p></main>"))]
+    rows += [(50 + i, "https://one.example/" + "xyzw"[i], page("<main><p>Ei täällä.</p></main>")) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, url string, body string")
+    assert len(lost) > 160 and not classify(lost)
+    assert sorted(r.row_id for r in residue_pages([("t", df, "id", "url", "body")]).collect()) == [0, 1, 2, 3, 10, 11]
