@@ -11,12 +11,15 @@ from ..functions.text import chunk_markdown, content_hash, heuristic_summary, no
 from ..operators.ranks import numbered_in_order
 
 
-def build_chunks(pages: DataFrame, max_tokens: int = 800, min_tokens: int = 20) -> DataFrame:
+def build_chunks(pages: DataFrame, max_tokens: int = 800, min_tokens: int = 20, latest: tuple[str, ...] = ()) -> DataFrame:
     """Chunk records of ``pages (package, version, url, label, text)``; ids count from 1 in each pack, by URL and place.
 
-    Of pages repeated under one URL the largest text holds; null and blank texts give no chunks.
+    Of pages repeated under one URL the text that is last by the columns ``latest`` holds, the largest among equals;
+    null and blank texts give no chunks and replace no text.  Rows without a package belong to no pack and give no
+    chunks: name one for them before.
     """
-    once = pages.where("package is not null").groupBy("package", "version", "url").agg(F.max(F.struct("text", "label")).alias("p"))
+    held = pages.where("package is not null").where(F.col("text").rlike(r"\S"))
+    once = held.groupBy("package", "version", "url").agg(F.max(F.struct(*latest, "text", "label")).alias("p"))
     cut = once.select("package", "version", "url", F.posexplode(chunk_markdown(F.col("p.text"), F.col("p.label"), max_tokens, min_tokens)).alias("seq", "c"))
     clean = cut.select("package", "version", "url", "seq", "c.heading_path", normalize_text(F.col("c.content")).alias("content"))
     ids = numbered_in_order(clean, ["package", "version"], ["url"], "seq", "id")

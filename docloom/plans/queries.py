@@ -356,10 +356,15 @@ def concatenated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk records of the crawled pages, each package as one pack."""
+    """Chunk records of the crawled pages, each package as one pack; pages without a package are a pack named by their host.
+
+    Of a page fetched again the last text holds, by time, then by crawl_id.
+    """
     c = table(spark, sf_dir, "crawled_pages")
-    pages = c.select("package", F.lit("crawl").alias("version"), U.canonical_url(F.col("url")).alias("url"), U.label_of(F.col("url")).alias("label"), T.process_mdx(F.col("content")).alias("text"))
-    return build_chunks(pages)
+    url = U.canonical_url(F.col("url"))
+    pack = F.coalesce("package", F.concat(F.lit("host:"), F.coalesce(F.regexp_extract(url, "^https?://([^/]+)", 1), F.lit(""))))
+    pages = c.select(pack.alias("package"), F.lit("crawl").alias("version"), url.alias("url"), U.label_of(F.col("url")).alias("label"), T.process_mdx(F.col("content")).alias("text"), "fetched_at", "crawl_id")
+    return build_chunks(pages, latest=("fetched_at", "crawl_id"))
 
 
 def routed_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,24 @@ def test_chunk_records(spark):
     assert all(r.content_hash.startswith("sha256:") and r.token_count == len(r.content) // 4 and r.summary.startswith(r.heading_path.split(" / ")[-1]) for r in got)
 
 
+def test_pages_without_package_and_fetched_again(spark, tmp_path):
+    from docloom.plans.queries import built_chunks
+
+    rows = [
+        (1, "https://a.example/x?v=1", "p", f"# Zebra\n\n{BODY}", 1),
+        (2, "https://a.example/x?v=2", "p", f"# Apple\n\n{BODY}", 2),
+        (3, "https://a.example/x", "p", " ", 3),  # fetched last, but no text
+        (4, "https://B.example/y", None, f"# Alone\n\n{BODY}", 1),
+        (5, "https://c.example/z", "q", f"# Zebra\n\n{BODY}", 1),
+        (6, "https://c.example/z", "q", f"# Apple\n\n{BODY}", 1),
+        (7, None, None, f"# Nowhere\n\n{BODY}", 1),
+    ]
+    df = spark.createDataFrame(rows, "crawl_id long, url string, package string, content string, at int")
+    df.select("crawl_id", "url", "package", "content", F.timestamp_seconds("at").alias("fetched_at")).write.parquet(f"{tmp_path}/crawled_pages.parquet")
+    got = {(r.package, (r.heading_path or "").split(" / ")[-1]) for r in built_chunks(spark, str(tmp_path)).collect()}
+    assert got == {("p", "Apple"), ("host:b.example", "Alone"), ("q", "Apple"), ("host:", "Nowhere")}
+
+
 def test_cache(spark):
     chunks = spark.createDataFrame([(1, "h1", "x", None), (2, "h1", "x", "own"), (3, "h2", "y", None), (4, None, "z", None)], "id long, content_hash string, content string, summary string")
     cache = spark.createDataFrame([("h1", "b"), ("h1", "a"), ("h9", "c"), (None, "n")], "content_hash string, cached string")
