@@ -60,7 +60,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_pages(
         [
             ("crawled_pages", table(spark, sf_dir, "crawled_pages"), "crawl_id", "url", "content"),
-            ("fetched_html", table(spark, sf_dir, "fetched_html"), "fetch_id", "final_url", "text"),
+            ("fetched_html", table(spark, sf_dir, "fetched_html"), "fetch_id", "final_url", "text", "content_type"),
         ]
     )
 

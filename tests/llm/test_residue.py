@@ -1,6 +1,6 @@
 import pytest
 
-from docloom.llm.residue import classify, html_blocks, is_filler, residue_pages, without_residue
+from docloom.llm.residue import classify, is_filler, markdown_lines, markdown_of, mask, message, residue_pages, without_residue
 
 HTML = "<!DOCTYPE html><html><head><title>{{ t }}</title><script>var a='${x}';</script></head><body><nav><a href='/'>404</a></nav>{}<footer>RSS</footer></body></html>"
 
@@ -46,14 +46,44 @@ def test_classes(text, kind):
     assert classify(text) == kind
 
 
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("Sorry, the page you are looking for could not be found.", "error"),
+        ("We're sorry, but something went wrong.", "error"),
+        ("Service temporarily unavailable", "error"),
+        ("This page isn't working right now", "error"),
+        ("Esta página no existe", "error"),
+        ("The requested URL was not found on this server.", "error"),
+        ("Please turn JavaScript on and reload the page.", "scripts"),
+        ("Under construction", "announced"),
+        ("This section is being written.", "announced"),
+        ("Lorem ipsum.", "filler"),
+        ("Curabitur sodales ligula in libero. Sed dignissim lacinia nunc curabitur tortor.", "filler"),
+        ("The page was moved to the new index by the scheduler.", "sounds"),
+        ("The cache is not available.", "sounds"),
+        ("The page cache holds sixty entries.", ""),
+        ("Not found. Request handlers are cached by the scheduler.", ""),
+        ("We are sorry. " + "The page you asked for does not exist or has moved. " * 5, "error"),
+    ],
+)
+def test_messages_in_other_words_and_lengths(text, kind):
+    assert message(mask(text)) == kind
+
+
+def test_links_are_their_labels():
+    line = "- [Object store](../stage-route/) and [object store](https://docs.example/a) by [insert mode](/m) of ![object lock](x.png)"
+    assert markdown_lines(line) == [(1, False, "- Object store and object store by insert mode of object lock")]
+    assert classify(markdown_lines(line)[0][2]) == "" and classify("It is [object Object].") == "placeholder" and classify("[insert name]") == "placeholder"
+
+
 def test_blocks_are_what_a_reader_sees():
-    assert html_blocks(page("<main><h1>A &amp; B</h1><p>x <code>${v}</code></p><pre><code>{{ y }}</code></pre><!-- TODO: z --></main>")) == [
-        (True, "A & B"),
-        (False, "x `c`"),
-        (False, "`c`"),
-    ]
-    assert html_blocks("<html><body><div id='root'></div><noscript>JavaScript is required.</noscript></body></html>") == [(False, "JavaScript is required.")]
+    text = page("<main><h1>A &amp; B</h1><p>x <code>${v}</code> <a href='/k'>k</a>\nl</p><pre><code>{{ y }}</code></pre><ul><li>i</li></ul><table><tr><td>a</td><td>b</td></tr></table><!-- TODO: z --></main>")
+    assert markdown_of(text) == "# A & B\n\nx `c` [k](/k) l\n\n```\n```\n\n- i\n\n| a | b |"
+    assert [(h, b) for _, h, b in markdown_lines(markdown_of(text))] == [(True, "A & B"), (False, "x `c` k l"), (False, "`c`"), (False, "- i"), (False, "| a | b |")]
+    assert markdown_of("<html><body><div id='root'></div><noscript>JavaScript is required.</noscript></body></html>") == "JavaScript is required."
     assert is_filler("dolor sit amet lorem") and not is_filler("dolor")
+    assert [b for *_, b in markdown_lines("~~~\n```\nTODO: x\n~~~\nout")] == ["`c`", "out"]
 
 
 def test_cases(spark):
@@ -94,3 +124,17 @@ def test_messages_in_unknown_words_are_found_by_recurrence(spark):
     df = spark.createDataFrame(rows, "id long, url string, body string")
     assert len(lost) > 160 and not classify(lost)
     assert sorted(r.row_id for r in residue_pages([("t", df, "id", "url", "body")]).collect()) == [0, 1, 2, 3, 10, 11]
+
+
+def test_furniture_and_content_types(spark):
+    real = "The scheduler drops stale entries after the first call, as `drain_page()` does."
+    side = "- [Overview](../overview/)\n- [{{ page.title }}](../other/)\n- [Coming soon](../soon/)\n"
+    rows = [
+        (1, f"{side}\n# Using the scheduler\n\n{real}\n", None),  # furniture's placeholders are not the article's
+        (2, "<p>Not found</p>", "text/html; charset=utf-8"),
+        (3, "<html><body><p>" + real + "</p></body></html>", "text/plain"),
+        (4, "<html> is the first tag. It opens what {{ name }} reads.", "text/plain"),
+        (5, page(f"<div><a href='/a'>Overview</a></div><main><h1>It</h1><p>{real}</p></main>"), None),
+    ]
+    df = spark.createDataFrame([(i, f"https://s{i}.example/{i}", t, k) for i, t, k in rows], "id long, url string, body string, kind string")
+    assert sorted(r.row_id for r in residue_pages([("t", df, "id", "url", "body", "kind")]).collect()) == [2, 4]
