@@ -12,7 +12,7 @@ from .packing import fill_report, pack
 from .repeated_lines import repeated_lines, without_lines
 from .residue import residue_pages, without_residue
 from .sentences import sentences
-from .splitting import split_oversized
+from .splitting import CHARS_PER_TOKEN, MAX_TOKENS, OVERLAP_TOKENS, split_oversized
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece_no > 1").select("src_table", "row_id").distinct()
 
 
+def p4_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut items put together again, and whether all their pieces keep the limit and the overlap."""
+    overlap = OVERLAP_TOKENS * CHARS_PER_TOKEN
+    per = p4_pieces(spark, sf_dir).groupBy("src_table", "row_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece", "n_tokens"))).alias("p"), F.count_distinct("heading_path").alias("n_paths"))
+    before = lambda i: F.right(F.get("p", i - 1)["piece"], F.lit(overlap))
+    return per.select(
+        "src_table",
+        "row_id",
+        F.sha2(F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], overlap + 1, 2**31 - 1))), ""), 256).alias("sha"),
+        F.forall("p", lambda x: x["n_tokens"] <= MAX_TOKENS).alias("in_limit"),
+        F.forall(F.transform("p", lambda x, i: (i == 0) | F.startswith(x["piece"], before(i))), lambda x: x).alias("overlapping"),
+        (F.col("n_paths") <= 1).alias("one_path"),
+    )
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_pages(
         [
@@ -116,6 +131,7 @@ QUERIES = {
         p3_cleaned,
         p4_found,
         p4_pieces,
+        p4_rejoined,
         p5_found,
         p5_kept,
         p6_containers,
@@ -131,4 +147,7 @@ ORACLES = {
     "p4_found": """
         SELECT DISTINCT 'chunks' AS src_table, id AS row_id FROM chunks WHERE length(content) // 4 > 800
         UNION ALL SELECT DISTINCT 'raw_chunks', id FROM raw_chunks WHERE length(content) // 4 > 800""",
+    "p4_rejoined": """
+        SELECT DISTINCT 'chunks' AS src_table, id AS row_id, sha256(content) AS sha, true AS in_limit, true AS overlapping, true AS one_path FROM chunks WHERE length(content) // 4 > 800
+        UNION ALL SELECT DISTINCT 'raw_chunks', id, sha256(content), true, true, true FROM raw_chunks WHERE length(content) // 4 > 800""",
 }

@@ -22,6 +22,8 @@ def test_round_trip(spark, max_tokens, overlap_tokens):
     rng = random.Random(3)
     units = ["word ", "ends. ", "a\n", "p\n\n", "# Head\n", "| a | b |\n", "x" * 90, "漢字。", "😀", "é", "\r\n", "「はい。」", " ", "```\ncode\n```\n"]
     texts = ["".join(rng.choice(units) for _ in range(rng.randrange(4000))) for _ in range(25)]
+    fenced = [*units, "```py\n# comment\n\nx = 1. Y\n```\n", "~~~\n```\n\n", "~~~ \n", "   ```\n", "```"]
+    texts += ["".join(rng.choice(fenced) for _ in range(rng.randrange(4000))) for _ in range(25)] + ["```\n" + "\ufdd0 y\n\n" * 4000]
     texts += ["x" * 50_000, "\n" * 20_000, "é" * 9_000, "a" * (max_tokens * 4 + 3), "a" * (max_tokens * 4 + 4)]
     got = pieces(spark, texts, max_tokens=max_tokens, overlap_tokens=overlap_tokens)
     for i, t in enumerate(texts):
@@ -42,6 +44,38 @@ def test_strongest_boundary_wins(spark):
     assert not any(p.startswith("́") for p in accents)
 
 
+def open_fences(text, cuts):
+    """Of places where a text is cut, those inside a fence."""
+    inside, at, mark = [], 0, ""
+    for line in text.split("\n"):
+        bare = line.strip()
+        if mark:
+            inside.append((at, at + len(line)))
+            if bare.startswith(mark) and not bare.strip(mark[0]):
+                mark = ""
+        elif bare.startswith("```"):
+            mark = "```"
+        at += len(line) + 1
+    return [c for c in cuts if any(a <= c <= b for a, b in inside)]
+
+
+def test_fences_are_cut_only_where_they_do_not_fit(spark):
+    code = "\n```sh\n# first, make it\nmake all\n\n# then run it. Now\nrun --fast, --hot\n```\n"
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([code, "Some words go on here, and on. ", "Line.\n", "\n\n", "## Head\n"]) for _ in range(400)) for _ in range(20)]
+    kw = dict(max_tokens=100, overlap_tokens=10)
+    for i, parts in pieces(spark, texts, **kw).items():
+        assert rejoined(parts, 40) == texts[i]
+        ends = [len(parts[0])]
+        for p in parts[1:-1]:
+            ends.append(ends[-1] + len(p) - 40)
+        assert open_fences(texts[i], ends) == []
+    before = "Before it stands a line of some length.\n\n" * 2
+    big = before + "```\n" + "# comment\nline of code\n" * 60 + "```\nAfter it.\n"
+    parts = pieces(spark, [big], **kw)[0]
+    assert parts[0] == before and all(p.endswith("\n") for p in parts) and rejoined(parts, 40) == big
+
+
 def test_nulls_empty_repeats_and_clashing_names(spark):
     rows = [(1, None, "h", 1), (2, "", None, 1), (3, "short", "h", 1), (4, "long " * 900, None, 7), (4, "long " * 900, None, 7)]
     df = spark.createDataFrame(rows, "id long, content string, heading_path string, piece_no int")
