@@ -5,10 +5,12 @@ each source can give under its cap of repeats are settled first: a source that f
 has, and the others share what is left by their targets.  Then every output shard draws multinomial counts
 of blocks per source; the n-th block drawn from a source in all is looked up in a pseudorandom permutation
 of its block numbers, a new one for each round through the source; and the slots join the blocks by number.
+Slots drawn over a source's cap are drawn again from the sources with room left, until every slot is placed.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,14 +143,22 @@ def mix(
 
     caps = spark.createDataFrame([(i, names[i], int(room[i])) for i in range(len(names))], "kind long, source string, room long")
     shards = spark.range(n_shards).select(F.col("id").alias("shard"), F.least(F.lit(slots_per_shard).cast("long"), F.lit(slots) - F.col("id") * slots_per_shard).alias("n_slots"))
-    first = written(shards.mapInPandas(draw(p, 1, "n_slots"), "shard long, kind long, n long"))
-    ends = running_sum(first.join(F.broadcast(caps), "kind"), ["kind"], "shard", "n", "end")
-    fits = ends.withColumn("kept", F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), F.col("room") - (F.col("end") - F.col("n")))))
-    # what a source could not give is drawn once more from those that are not at their limit
-    slack = np.where(room > np.array([given[s] for s in names]) * 1.02 + 8, p, 0.0)
-    over = fits.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("n_slots")).where("n_slots > 0")
-    again = over.mapInPandas(draw(slack / slack.sum(), 2, "n_slots"), "shard long, kind long, n long") if slack.sum() > 0 else spark.createDataFrame([], "shard long, kind long, n long")
-    drawn = fits.select("shard", "kind", F.col("kept").alias("n")).union(again).groupBy("shard", "kind").agg(F.sum("n").alias("n"))
+    drawn = written(shards.mapInPandas(draw(p, 1, "n_slots"), "shard long, kind long, n long"))
+    # what goes over a source's room is drawn again from those with room left, until no slot is over
+    for turn in itertools.count(2):
+        used = {r["kind"]: r["n"] for r in drawn.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # a row a source
+        left = np.array([room[i] - used.get(i, 0) for i in range(len(names))], "int64")
+        if (left >= 0).all():
+            break
+        excess, left = -left.clip(max=0).sum(), left.clip(min=0)
+        free = np.where(left > 0, p, 0.0) / p[left > 0].sum()
+        if (excess * free > left).any():  # the targets would fill some of them up: by room, then
+            free = left / left.sum()
+        ends = running_sum(drawn.join(F.broadcast(caps), "kind"), ["kind"], "shard", "n", "end")
+        fits = written(ends.withColumn("kept", F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), F.col("room") - (F.col("end") - F.col("n"))))))
+        over = fits.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("n_slots")).where("n_slots > 0")
+        again = over.mapInPandas(draw(free, turn, "n_slots"), "shard long, kind long, n long")
+        drawn = written(fits.select("shard", "kind", F.col("kept").alias("n")).union(again).groupBy("shard", "kind").agg(F.sum("n").alias("n")))
     numbered = running_sum(drawn.join(F.broadcast(caps), "kind"), ["kind"], "shard", "n", "end").withColumn("start", F.col("end") - F.col("n"))
     size = np.array([have[s][0] for s in names], "int64")
 
@@ -161,9 +171,8 @@ def mix(
         return pd.DataFrame({"block_no": permuted(number.to_numpy() % n, n, key), "round": turn.astype("int32")})
 
     slot = (
-        numbered.withColumn("last", F.least(F.col("end"), F.col("room")))
-        .where("last > start")
-        .select("shard", "kind", "source", F.explode(F.sequence(F.col("start"), F.col("last") - 1)).alias("number"))
+        numbered.where("end > start")
+        .select("shard", "kind", "source", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("number"))
         .withColumn("at", look_up("kind", "number"))
         .select("shard", "source", "number", F.col("at.block_no").alias("block_no"), F.col("at.round").alias("round"))
         .withColumn("slot", F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("source", "number"))).cast("long") - 1)

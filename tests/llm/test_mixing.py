@@ -78,6 +78,19 @@ def test_scarce_source_is_used_up_to_its_cap(spark):
     assert all(d.repeats <= 2 for d in docs if d.source == "large")
 
 
+@pytest.mark.parametrize("total", [3200, 3216, 2000])
+def test_every_slot_is_placed_where_the_caps_bind(spark, total):
+    """Rooms of 100, 60 and 41 blocks of 16 tokens: all of it wanted, as near as makes no difference, and less."""
+    n = {"a": 100, "b": 30, "c": 41}
+    text = " ".join(["one"] * 16)
+    df = spark.createDataFrame([(i * 1000 + j, s, text) for i, (s, k) in enumerate(n.items()) for j in range(k)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 1)], "source string, target_share double, max_repeats int")
+    rows = mix(df, targets, item_id="doc_id", source="source", text="text", block=16, slots_per_shard=50, total_tokens=total).collect()
+    assert len({(r.shard, r.slot) for r in rows}) == total // 16 and sum(r.token_to - r.token_from for r in rows) == total
+    uses = Counter(r.item_id for r in rows)
+    assert max(uses[i] for i in uses if i < 1000) == 1 and max(uses[i] for i in uses if 1000 <= i < 2000) <= 2
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
