@@ -10,14 +10,17 @@ key with very many references spreads over several tasks.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 OPEN_END = 2**63 - 1
-MAX_RANGES = 4096
 
 
 def _position(keys: np.ndarray, starts: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -131,14 +134,17 @@ def orphan_references(
     ).where("key is not null")
     dated = r.where("at is not null").distinct()
 
-    ranges = min(MAX_RANGES, max(1, -(-p.count() // rows_per_range)))
+    p = written(p)
+    n = p.count()
+    # ranges and their number, which the driver holds the bounds of, grow with the square root of the parents at most
+    ranges = max(1, -(-n // max(rows_per_range, math.isqrt(n))))
     bounds: list[tuple] = []
     if ranges > 1:
         firsts = p.repartitionByRange(ranges, "key", "start").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "start")).alias("first"))
         bounds = sorted((x["first"]["key"], x["first"]["start"]) for x in firsts.collect())[1:]
     number = _range_of(bounds) if bounds else lambda key, at: F.lit(0)
 
-    arrays = p.withColumn("range", number("key", "start")).groupBy("range").agg(F.sort_array(F.collect_list(F.struct("key", "start", "end"))).alias("entries"))
+    arrays = written(p.withColumn("range", number("key", "start")).groupBy("range").agg(F.sort_array(F.collect_list(F.struct("key", "start", "end"))).alias("entries")))
     carry: dict[int, tuple] = {}
     if bounds:
         last = F.element_at("entries", -1)["key"]

@@ -28,13 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_dir(master: str) -> str:
+    """A new folder on this machine, for sessions that run on it alone; elsewhere an error."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-docloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or an own one in a local session where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    there = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="spark-docloom-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        path = there.get() if there.isDefined() else own_dir(spark.sparkContext.master)
+    if there.isEmpty():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
