@@ -52,15 +52,15 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 def masked(line: str) -> str:
     """The line as it is compared: equal for lines that differ in what is masked only; '' if no word is left."""
-    s = line.lower()
+    s = " ".join(line.lower().split())
     if "/" in s or "www." in s:
         s = _ADDRESS.sub("address", s)
     if _DIGIT(s):
         if _YEAR(s):
-            s = _DATE.sub("0", " ".join(s.split()))
+            s = _DATE.sub("0", s)
         s = _NUMBERS.sub("0", s)
-    if len(s) < 120 and (" by " in s or ", " in s or s.startswith("by ")):
-        s = " ".join(s.split()).strip(" *_>—–-~")
+    if "by " in s or s.endswith(("0", "0.", "0*", "0_")) and ", " in s:
+        s = s.strip(" *_>—–-~")
         s = _BY.sub("by author", s)
         if s.endswith(("0", "0.")):
             s = _HEAD.sub("author", s)

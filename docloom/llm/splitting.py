@@ -103,8 +103,8 @@ def split_oversized(
         .where(F.length("content") > size)
         .distinct()
     )
-    return (
+    return (  # the outer form, as of the other the engine infers a filter that cuts every text a second time
         big.withColumn("pieces", split_pieces(F.col("content"), max_tokens, overlap_tokens))
-        .select(F.lit(src_table).alias("src_table"), "row_id", "heading_path", F.posexplode("pieces").alias("pos", "piece"))
+        .select(F.lit(src_table).alias("src_table"), "row_id", "heading_path", F.posexplode_outer("pieces").alias("pos", "piece"))
         .select("src_table", "row_id", (F.col("pos") + 1).alias("piece_no"), "heading_path", "piece", F.expr(f"length(piece) div {CHARS_PER_TOKEN}").alias("n_tokens"))
     )

@@ -16,6 +16,11 @@ from docloom.llm.repeated_lines import band_values, candidate_lines, masked, rep
         ("_Ilvane Orvandel, Zephyrcfg docs, 13 Apr. 2025_", "Odo Sundreth, Zephyrcfg docs, 2022-09-20"),
         ("Copy link to this page: https://a.example/x/1", "copy link  to this page: https://a.example/y"),
         ("Posted 24 Oct. 2023 in lesson", "*Posted 2021-01-26 in lesson*"),
+        (
+            "This long notice stands below each page of the handbook and says who looked after it in the last months of work: reviewed and edited by Ann Lee",
+            "This long notice stands below each page   of the handbook and says who looked after it in the last months of work: reviewed and edited by Tessa Marn Quillory",
+        ),
+        ("Ilvane Orvandel, " + "the docs of a project with a very long name, " * 4 + "13 Apr. 2025", "Odo  Sundreth, " + "the docs of a project with a very long name, " * 4 + "2022-09-20"),
         ("Rate it: ★★★★☆ (7 votes)", "Rate it: ★★ (81 votes)"),
     ],
 )
