@@ -20,26 +20,37 @@ from .crawl import crawl, link_table
 STEP = 50  # queries are the rows whose id this divides, searched against all rows
 
 
+def _chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "chunks")
+    return c.select(F.col("id").alias("chunk_id"), "package", "version", "heading_path", "summary", "content", "content_hash", "source_url")
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks once each: rows delivered again are equal but for the time."""
-    c = table(spark, sf_dir, "chunks")
-    return c.select(F.col("id").alias("chunk_id"), "package", "version", "heading_path", "summary", "content", "content_hash", "source_url").distinct()
+    return _chunk_rows(spark, sf_dir).distinct()
 
 
 def _leaf() -> F.Column:
     return F.element_at(F.split("heading_path", " / "), -1)
 
 
-#: indexes built by this application and their queries, by table folder: built once, searched many times
-_BUILT: dict[tuple[str, str], tuple[search.Index, DataFrame]] = {}
+#: indexes built by this application and their queries, by the table's files: built once, searched many times
+_BUILT: dict[tuple, tuple[search.Index, DataFrame]] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(at)))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[search.Index, DataFrame]:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, _files(spark, f"{sf_dir}/chunks.parquet"))
     if key not in _BUILT:
-        chunks = _chunks(spark, sf_dir)
-        own = table(spark, sf_dir, "chunks").where(F.col("id") % STEP == 0).select(F.col("id").alias("query_id"), _leaf().alias("query")).distinct()
-        _BUILT[key] = (search.stored(search.build_index(chunks)), written(own))
+        rows = _chunk_rows(spark, sf_dir)
+        own = rows.where(F.col("chunk_id") % STEP == 0).select(F.col("chunk_id").alias("query_id"), _leaf().alias("query")).distinct()
+        _BUILT[key] = (search.stored_index(rows), written(own))
     return _BUILT[key]
 
 
@@ -51,7 +62,7 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.vocabulary(_index(spark, sf_dir)[0].postings)
+    return search.vocabulary(_index(spark, sf_dir)[0])
 
 
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
