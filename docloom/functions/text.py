@@ -6,9 +6,10 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, ByteType, StringType
 
 #: Latin letters with marks and what they fold to in the index
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -45,8 +46,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def normalize_text(texts: pd.Series) -> pd.Series:
-    """Prose: space separators to spaces, tags out, composed Unicode; fenced code as it is; blank runs to one; stripped."""
+def _composed(texts: pd.Series) -> pd.Series:
+    """Prose with space separators as spaces, tags out, and composed; fenced code as it is."""
 
     def prose(s: str) -> str:
         return unicodedata.normalize("NFC", re.sub(r"<[^>]+>", "", _SEPARATORS.sub(" ", s)))
@@ -58,11 +59,40 @@ def normalize_text(texts: pd.Series) -> pd.Series:
         for m in _FENCE.finditer(s):
             out += [prose(s[at : m.start()]), m[0]]
             at = m.end()
-        return re.sub(r"\n(?:[ \t]*\n){2,}", "\n\n", "".join([*out, prose(s[at:])])).strip()
+        return "".join([*out, prose(s[at:])])
 
     return texts.map(one)
 
 
+def normalize_text(text: Column | str) -> Column:
+    """Prose: space separators to spaces, tags out, composed Unicode; fenced code as it is; blank runs to one; stripped.
+
+    Only texts beyond ASCII leave the engine: the others have no separators and are composed.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    plain = F.regexp_replace(text, r"(?md)(^```[^\n]*\n(?s:.*?^```[^\n]*$|.*\z))|<[^>]+>", "$1")
+    clean = F.when(text.rlike(r"[^\x00-\x7f]"), _composed(F.when(text.rlike(r"[^\x00-\x7f]"), text))).otherwise(plain)
+    return F.regexp_replace(F.regexp_replace(clean, r"\n(?:[ \t]*\n){2,}", "\n\n"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+@F.arrow_udf(ArrayType(ByteType()))
+def line_states(texts: pa.Array) -> pa.Array:
+    """For each line of a text: 0 outside fences, 1 inside, 2 a mark that opens one, 3 a mark that closes one."""
+    out = []
+    for text in texts.to_pylist():
+        states, open_ = None, False
+        if text is not None:
+            states = []
+            for line in text.split("\n"):
+                if line.lstrip(" ").startswith("```"):
+                    states.append(3 if open_ else 2)
+                    open_ = not open_
+                else:
+                    states.append(int(open_))
+        out.append(states)
+    return pa.array(out, pa.list_(pa.int8()))
+
+
 def content_hash(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
@@ -108,28 +138,19 @@ COMPONENTS = "Note Warning Tip Tabs Tab Callout Info Check Error AccordionGroup
 
 
 def strip_mdx(text: Column) -> Column:
-    """Outside fences: drop import and export lines and lone component lines, unwrap quoted expressions, drop other one-line ones."""
-    for pattern, by in (
-        (r"^(?:import|export)\s[^\n]*$\n?", "$1"),
-        (r"^[ \t]*</?[A-Z][^>\n]*/?>[ \t]*$\n?", "$1"),
-        (r"\{`([^`\n]*)`\}", "$1$2"),
-        (r'\{"([^"\n]*)"\}', "$1$2"),
-        (r"\{'([^'\n]*)'\}", "$1$2"),
-        (r"\{[^{}\n]*\}", "$1"),
-    ):
-        text = F.regexp_replace(text, _CODE + pattern, by)
-    return text
-
-
-def unwrap_components(text: Column, rounds: int = 2) -> Column:
-    """Bodies of known components in their place, a tab's title as a heading; frames of only an image go."""
+    """Outside fences: import, export and lone component lines out; a quoted expression leaves its text, any other one nothing."""
+    lines = r"^(?:(?:import|export)\s[^\n]*|[ \t]*</?[A-Z][^>\n]*/?>[ \t]*)$\n?"
+    quoted = r"\{(?:`([^`\n]*)`|\"([^\"\n]*)\"|'([^'\n]*)')\}"
+    out = F.regexp_replace(F.regexp_replace(text, _CODE + lines, "$1"), _CODE + quoted, "$1$2$3$4")
+    return F.regexp_replace(out, _CODE + r"\{[^{}\n]*\}", "$1")
+
+
+def unwrap_components(text: Column) -> Column:
+    """Bodies of known components in their place, however deep they stand, a tab's title as a heading; frames of only an image go."""
     out = F.regexp_replace(text, _CODE + r"<Frame\b[^>]*>\s*<img\b[^>]*/?>(?:</img>)?\s*</Frame>", "$1")
     out = F.regexp_replace(out, _CODE + r"<Tab\s[^>]*?title\s*=\s*[\"']([^\"']*)[\"'][^>]*>", "$1\n### $2\n\n")
     out = F.regexp_replace(out, r"(?m)^### \n\n", "")
-    for _ in range(rounds):
-        for name in COMPONENTS:
-            out = F.regexp_replace(out, _CODE + rf"<{name}\b[^>]*>(.*?)</{name}>", "$1$2")
-    out = F.regexp_replace(out, _CODE + "</Tab>", "$1")
+    out = F.regexp_replace(out, _CODE + rf"</?(?:{'|'.join(COMPONENTS)})\b[^>]*>", "$1")
     return F.when(text.rlike("<[A-Z]"), out).otherwise(text)
 
 
@@ -158,16 +179,14 @@ def heuristic_summary(content: Column, heading_path: Column) -> Column:
     A chunk is mostly code if more than half of its lines, fence marks apart, stand in fences.
     """
 
-    def summary(lines: Column) -> Column:
-        marks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)).startswith("```"))
-        flagged = F.transform(
-            lines, lambda x, i: F.struct(F.trim(x).alias("t"), (F.size(F.filter(marks, lambda p: p < i)) % 2 == 1).alias("code"), F.trim(x).startswith("```").alias("mark"), i.alias("i"))
-        )
-        kept = F.filter(flagged, lambda x: ~x["mark"])
-        code = F.filter(kept, lambda x: x["code"])
-        last = F.coalesce(F.array_max(F.filter(marks, lambda p: F.size(F.filter(marks, lambda q: q < p)) % 2 == 0)), F.lit(-1))
+    def summary(both: Column) -> Column:
+        lines, states = both["lines"], both["states"]
+        flagged = F.transform(lines, lambda x, i: F.struct(F.trim(x).alias("t"), F.get(states, i).alias("s"), i.alias("i")))
+        kept = F.filter(flagged, lambda x: x["s"] < 2)
+        code = F.filter(kept, lambda x: x["s"] == 1)
+        last = F.array_size(states) - F.coalesce(F.array_position(F.reverse(states), F.lit(2).cast("tinyint")), F.lit(0))  # of the last opening mark
         define = F.get(F.filter(code, lambda x: (x["i"] > last) & x["t"].rlike(r"^(?:def |class |function |export )")), F.lit(0))["t"]
-        prose = F.filter(kept, lambda x: ~x["code"] & ~x["t"].startswith("#") & ~x["t"].rlike(r"^(?:[-*+]|\d+\.)\s+"))
+        prose = F.filter(kept, lambda x: (x["s"] == 0) & ~x["t"].startswith("#") & ~x["t"].rlike(r"^(?:[-*+]|\d+\.)\s+"))
         said = F.trim(F.array_join(F.transform(prose, lambda x: x["t"]), " "))
         heading = F.get(F.filter(kept, lambda x: x["t"].startswith("# ")), F.lit(0))["t"]
         whole = F.trim(F.array_join(lines, "\n"))
@@ -183,63 +202,4 @@ def heuristic_summary(content: Column, heading_path: Column) -> Column:
         )
         return F.when((F.size(code) * 2 > F.size(kept)) & define.isNotNull(), define).otherwise(named)
 
-    return F.transform(F.array(F.split(content, "\n")), summary)[0]  # the lines are split once
-
-
-def chunk_markdown(content: Column, prefix: Column, max_tokens: int = 800, min_tokens: int = 20) -> Column:
-    """Chunks of a document at its structure: ``array<struct<heading_path, content>>``, in one fold over its lines.
-
-    A heading closes the chunk before it, unless that is smaller than ``min_tokens`` and flows on; the path is
-    the prefix and the headings above.  Within a section a chunk is closed at the end of the block that takes
-    it over ``max_tokens``, and inside a block that is too large itself at its lines; fences are not cut.
-    Sizes are code points div 4.
-    """
-    chunk = "array<struct<heading_path:string,content:string>>"
-    big, small = max_tokens * 4 + 3, min_tokens * 4
-    zero = F.struct(
-        F.lit(False).alias("fence"),
-        F.array().cast("array<struct<level:int,text:string>>").alias("stack"),
-        F.lit("").alias("held"),
-        F.lit(0).alias("block"),
-        F.array().cast(chunk).alias("out"),
-    )
-
-    def path(stack: Column) -> Column:
-        return F.array_join(F.concat(F.when(prefix.isNull() | (prefix == ""), F.array().cast("array<string>")).otherwise(F.array(prefix)), F.transform(stack, lambda s: s["text"])), " / ")
-
-    def closed(out: Column, stack: Column, held: Column) -> Column:
-        return F.when(F.trim(F.btrim(held, F.lit("\n"))) == "", out).otherwise(F.array_append(out, F.struct(path(stack).alias("heading_path"), F.btrim(held, F.lit(" \n\t\r")).alias("content"))))
-
-    def step(s: Column, line: Column) -> Column:
-        mark = F.ltrim(line).startswith("```")
-        fence = s["fence"] != mark
-        level = F.length(F.regexp_extract(line, r"^ {0,3}(#{1,6})(?:[ \t]|$)", 1))
-        head = ~s["fence"] & (level > 0)
-        blank = ~s["fence"] & (F.trim(line) == "")
-        ends = blank | (s["fence"] & mark)
-        full = F.length(s["held"]) + F.length(line) > big
-        cut_before = head & (F.length(F.btrim(s["held"], F.lit(" \n\t\r"))) >= small)
-        cut_after = ~head & ~fence & full & (ends | (s["block"] + F.length(line) > big))
-        held = F.concat(F.when(cut_before, F.lit("")).otherwise(s["held"]), line, F.lit("\n"))
-        stack = F.when(
-            head,
-            F.array_append(
-                F.filter(s["stack"], lambda x: x["level"] < level),
-                F.struct(level.alias("level"), F.trim(F.regexp_replace(line, r"^ {0,3}#{1,6}[ \t]*|[ \t]+#+[ \t]*$", "")).alias("text")),
-            ),
-        ).otherwise(s["stack"])
-        out = F.when(cut_before, closed(s["out"], s["stack"], s["held"])).when(cut_after, closed(s["out"], s["stack"], held)).otherwise(s["out"])
-        return F.struct(
-            fence.alias("fence"),
-            stack.alias("stack"),
-            F.when(cut_after, F.lit("")).otherwise(held).alias("held"),
-            F.when(ends | head | cut_after, F.lit(0)).otherwise(s["block"] + F.length(line) + 1).alias("block"),
-            out.alias("out"),
-        )
-
-    def finish(s: Column) -> Column:
-        prose = F.regexp_replace(s["held"], r"(?m)^ {0,3}#{1,6}(?:[ \t].*)?$", "")
-        keep = (F.btrim(prose, F.lit(" \n\t\r")) != "") | (F.length(F.btrim(s["held"], F.lit(" \n\t\r"))) >= small)
-        return F.when(keep, closed(s["out"], s["stack"], s["held"])).otherwise(s["out"])
-
-    return F.aggregate(F.split(F.coalesce(content, F.lit("")), "\r?\n"), zero, step, finish)
+    return F.transform(F.array(F.struct(F.split(content, "\n").alias("lines"), line_states(content).alias("states"))), summary)[0]  # the lines are split once

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.chunks import chunk_markdown
 from ..functions.html import html_to_markdown
 from ..operators import evaluation, fusion, packs, search
 from ..operators.lint import CHECKS, lint
@@ -306,7 +307,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    cut = d.select("doc_id", F.posexplode(T.chunk_markdown(F.col("text"), F.col("source"))).alias("seq", "c"))
+    cut = d.select("doc_id", F.posexplode_outer(chunk_markdown(F.col("text"), F.col("source"))).alias("seq", "c")).where("c is not null")
     return cut.select("doc_id", "seq", "c.heading_path", "c.content", T.content_hash(F.col("c.content")).alias("content_hash"))
 
 

@@ -13,6 +13,12 @@ from docloom.sources.files import read_files, routed_pages
 BODY = "Some words about it that are long enough to make a chunk of their own, surely.\n"
 
 
+def test_components_may_stand_in_each_other(spark):
+    deep = "<Note>\n" * 5 + "body\n" + "</Note>\n" * 5 + "<Tabs><Tab title='One'><Tip>tip</Tip></Tab></Tabs>\n```\n<Note>\n```\n"
+    got = spark.createDataFrame([(deep,)], "t string").select(process_mdx(F.col("t"))).first()[0]
+    assert got == "body\n\n### One\n\ntip\n```\n<Note>\n```"
+
+
 def test_chunk_records(spark):
     pages = [
         ("p", "1", "https://x/b", "b", f"# B\n\n{BODY}\n## B2\n\n{BODY}"),

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import urls as U
+from docloom.functions.chunks import blocks, chunk_markdown, chunks_of
 from docloom.functions.html import html_to_markdown, markdown_of
 from docloom.plans.crawl import crawl
 
@@ -55,7 +56,7 @@ def test_small_functions(spark):
 
 
 def test_chunks_follow_the_structure(spark):
-    cut = lambda t, p="doc", **k: [(c.heading_path, c.content) for c in one(spark, lambda a, b: T.chunk_markdown(a, b, **k), t, p)]
+    cut = lambda t, p="doc", **k: [(c.heading_path, c.content) for c in one(spark, lambda a, b: chunk_markdown(a, b, **k), t, p)]
     text = "intro text that is long enough to stand alone, quite.\n\n# A\n\nbody of a, also long enough to be a chunk of its own here.\n\n## B\nshort\n# C #\nend of it"
     got = cut(text, min_tokens=8)
     assert [p for p, _ in got] == ["doc", "doc / A", "doc / C"]
@@ -70,6 +71,45 @@ def test_chunks_follow_the_structure(spark):
     assert cut("") == cut(None) == [] and cut("# Only", None) == []
 
 
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("Title\n=====\n\nSub of it\ngoes on\n---\ntext\n", [("heading", 0, 2, (1, "Title")), ("heading", 3, 6, (2, "Sub of it\ngoes on")), ("text", 6, 7, None)]),
+        ("a\n    still a\n\n    code\n\n    more code\n\nb", [("text", 0, 2, None), ("code", 3, 6, None), ("text", 7, 8, None)]),
+        ("- a\n\n  in a\n- b\n  # not a heading\nlazy\n\nout\n* other", [("list", 0, 6, [0, 3]), ("text", 7, 8, None), ("list", 8, 9, [8])]),
+        ("1. a\n2. b\n3) c", [("list", 0, 2, [0, 1]), ("list", 2, 3, [2])]),
+        ("- a\n  ```\n- no item\n  ```\n- b", [("list", 0, 5, [0, 4])]),
+        ("text\n2. no item\n1. item", [("text", 0, 2, None), ("list", 2, 3, [2])]),
+        ("> q\nlazy\n\n***\n<div>\nx\n</div>\n\n~~~~ sh\n# c\n~~~\n~~~~", [("quote", 0, 2, None), ("rule", 3, 4, None), ("html", 4, 7, None), ("fence", 8, 12, None)]),
+        ("```\nopen", [("fence", 0, 2, None)]),
+        ("#no heading\n####### none\n# H ##\n#", [("text", 0, 2, None), ("heading", 2, 3, (1, "H")), ("heading", 3, 4, (1, ""))]),
+        ("", []),
+    ],
+)
+def test_blocks(text, kinds):
+    assert blocks(text.split("\n")) == kinds
+
+
+def test_large_blocks_are_cut_where_their_kind_allows(spark):
+    line = "words of a line that is long enough"
+    items = "\n".join(f"- {line}\n  {line}" for _ in range(10))
+    assert all(c["content"].startswith("- ") and c["content"].count("- ") == 2 for c in chunks_of(items, "p", 30, 5))
+    code = "\n\n".join(f"    {line}\n    {line}" for _ in range(10))
+    assert [c["content"].count(line) for c in chunks_of("x\n\n" + code, "p", 30, 5)][:2] == [4, 4]
+    quote = "\n".join(f"> {line}" for _ in range(10))
+    assert len(chunks_of(quote, "p", 30, 5)) == 1
+    under = "Top\n===\n\n" + line + "\n\nPart\n---\n\n" + line
+    assert [c["heading_path"] for c in chunks_of(under, "p", 30, 5)] == ["p / Top", "p / Top / Part"]
+    import time
+
+    sizes = []
+    for n in (2000, 16000):
+        began = time.perf_counter()
+        chunks_of("\n".join(f"{line} {i}" if i % 9 else "\n# H\n" for i in range(n)), "p", 800, 20)
+        sizes.append(time.perf_counter() - began)
+    assert sizes[1] < 30 * sizes[0] + 0.2  # eight times the lines
+
+
 def test_html(spark):
     page = "<html><body><nav>menu</nav><div role='main'><h1>T<a href='#t'>¶</a></h1><p>a <code>x &lt; y</code> <a href='/b'>b</a></p><ul><li>one<li>two</ul><pre>k  v\n</pre><div class='sphx-glr-footer'>f</div></div><footer>z</footer></body></html>"
     got = one(spark, html_to_markdown, page)
