@@ -6,26 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .ranks import numbered
 
 CUTS = (1, 5, 10, 20)
 
 
-def retrieval_metrics(results: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = CUTS, gain_at: int = 10) -> DataFrame:
+def metrics_of(hits: DataFrame, sizes: DataFrame, cuts: tuple[int, ...] = CUTS, gain_at: int = 10) -> DataFrame:
     """Per query: recall at each cut, reciprocal rank, normalised gain; 0 where nothing relevant was found.
 
-    ``results (query_id, id, rank)``, ``gold (query_id, id)``; repeated gold counts once, queries without gold
-    have no row.
+    ``hits (query_id, rank)`` are the relevant results, ``sizes (query_id, n_gold)`` says how many there are in all.
     """
-    g = gold.select("query_id", "id").distinct()
-    size = g.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    hits = results.select("query_id", "id", "rank").join(g, ["query_id", "id"])
+    if not cuts or min(*cuts, gain_at) < 1:
+        raise ValueError("cuts count from 1")
     per = hits.groupBy("query_id").agg(
         *[F.sum((F.col("rank") <= c).cast("int")).alias(f"h{c}") for c in cuts],
         F.min("rank").alias("first"),
         F.sum(F.when(F.col("rank") <= gain_at, 1 / F.log2(F.col("rank") + 1))).alias("gain"),
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(gain_at)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    return size.join(per, "query_id", "left").select(
+    return sizes.join(per, "query_id", "left").select(
         "query_id",
         "n_gold",
         *[F.round(F.coalesce(F.col(f"h{c}"), F.lit(0)) / F.col("n_gold"), 9).alias(f"recall_{c}") for c in cuts],
@@ -34,6 +33,43 @@ def retrieval_metrics(results: DataFrame, gold: DataFrame, cuts: tuple[int, ...]
     )
 
 
+def retrieval_metrics(results: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = CUTS, gain_at: int = 10) -> DataFrame:
+    """Metrics of ``results (query_id, id, rank)`` against ``gold (query_id, id)``.
+
+    Repeated gold counts once, queries without gold have no row (``without_gold`` names them).
+    """
+    g = gold.select("query_id", "id").distinct()
+    sizes = g.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
+    return metrics_of(results.select("query_id", "id", "rank").join(g, ["query_id", "id"]), sizes, cuts, gain_at)
+
+
+def class_metrics(results: DataFrame, own: DataFrame, classes: DataFrame, cuts: tuple[int, ...] = CUTS, gain_at: int = 10) -> DataFrame:
+    """Metrics where all items of a query's class are its gold: ``own (query_id, class)``, ``classes (id, class)``.
+
+    Classes are counted and results compared by class, so that a class of very many items costs no more than others.
+    """
+    sizes = own.join(classes.groupBy("class").agg(F.count(F.lit(1)).alias("n_gold")), "class").select("query_id", "n_gold")
+    found = results.select("query_id", "id", "rank").join(classes, "id").join(own.withColumnRenamed("class", "wanted"), "query_id")
+    return metrics_of(found.where("class = wanted"), sizes, cuts, gain_at)
+
+
+def without_gold(queries: DataFrame, gold: DataFrame) -> DataFrame:
+    """Queries ``(query_id)`` that no gold is given for: what would otherwise shrink the set unseen."""
+    return queries.select("query_id").distinct().join(gold.select("query_id").distinct(), "query_id", "left_anti")
+
+
+def question_set(tiered: DataFrame, order: str) -> DataFrame:
+    """Questions ``(source_url, heading_path, tier, ...)`` once a key, the first by ``order``, with ids r0001, r0002 ... in that order.
+
+    The tier is part of the key, so that a place may have a question of each.
+    """
+    key = ["source_url", "heading_path", "tier"]
+    rest = [c for c in tiered.columns if c not in (*key, order)]
+    first = tiered.groupBy(*key).agg(F.min(F.struct(order, *rest)).alias("q")).select(*key, "q.*")
+    ids = numbered(first, [], [order], "n")
+    return ids.withColumn("question_id", F.concat(F.lit("r"), F.when(F.col("n") < 10_000, F.lpad(F.col("n").cast("string"), 4, "0")).otherwise(F.col("n").cast("string")))).drop("n")
+
+
 def slices(scored: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Mean metrics, rounded to 4 places, over all and by each column of ``by``: one pass of grouping sets."""
     view = scored.select(*by, *metrics)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 RRF_K, DEPTH = 60, 100
 
 
-def cosine_top(queries: DataFrame, rows: DataFrame, k: int = 10, query_block: int = 512, row_block: int = 4096, skip_self: bool = False) -> DataFrame:
+def cosine_top(queries: DataFrame, rows: DataFrame, k: int = 10, query_block: int = 8192, row_block: int = 4096, skip_self: bool = False) -> DataFrame:
     """Exact best ``k`` of ``rows (id, embedding)`` for each of ``queries (query_id, embedding)``: ``query_id, id, score, rank``.
 
     Both sides are cut into blocks; a task multiplies a block of queries with a block of rows and keeps its
-    best, which are merged per query.  Null and zero vectors match nothing; equal scores (to 6 digits) go by id.
+    best, which are merged per query.  Rows are copied once for every ``query_block`` queries, queries once for every
+    ``row_block`` rows.  Null and zero vectors match nothing; equal scores (to 6 digits) go by id.
     """
 
     def parts(df: DataFrame, size: int) -> int:
@@ -23,29 +24,35 @@ def cosine_top(queries: DataFrame, rows: DataFrame, k: int = 10, query_block: in
     nq, nr = parts(queries, query_block), parts(rows, row_block)
     q = queries.where("embedding is not null").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
     r = rows.where("embedding is not null").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"))
-    q = q.select("query_id", "embedding", "qb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
+    q = q.select("query_id", F.col("embedding").alias("wanted"), "qb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
     r = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
-    def matrix(t: pa.Table) -> np.ndarray:
-        m = np.array(t.column("embedding").to_pylist(), "float64").reshape(t.num_rows, -1)
+    def matrix(t: pa.Table, name: str) -> np.ndarray:
+        flat = t.column(name).combine_chunks()
+        m = flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(t.num_rows, -1)
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def block(a: pa.Table, b: pa.Table) -> pa.Table:
         qi, ri = a.column("query_id").to_numpy(), b.column("id").to_numpy()
-        if not len(qi) or not len(ri):
-            return pa.table({"query_id": pa.array([], "int64"), "id": pa.array([], "int64"), "score": pa.array([], "float64")})
-        x, y = matrix(a), matrix(b)
-        s = np.round(x @ y.T, 6)
-        s[:, ~y.any(1)] = -np.inf
-        s[~x.any(1)] = -np.inf
-        if skip_self:
-            s[qi[:, None] == ri[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ri, s.shape), -s), axis=1)[:, :k]
-        rows_ = np.repeat(np.arange(len(qi)), order.shape[1])
-        cols = order.reshape(-1)
-        score = s[rows_, cols]
-        ok = np.isfinite(score)
-        return pa.table({"query_id": qi[rows_][ok], "id": ri[cols][ok], "score": score[ok]})
+        parts_ = []
+        if len(qi) and len(ri):
+            by_id = np.argsort(ri, kind="stable")
+            ri = ri[by_id]
+            every, y = matrix(a, "wanted"), matrix(b, "embedding")[by_id]
+            for at in range(0, len(qi), 256):
+                x, own = every[at : at + 256], qi[at : at + 256]
+                s = np.round(x @ y.T, 6)
+                s[:, ~y.any(1)] = -np.inf
+                s[~x.any(1)] = -np.inf
+                if skip_self:
+                    s[own[:, None] == ri[None, :]] = -np.inf
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # columns are in order of id
+                rows_, cols = np.repeat(np.arange(len(own)), order.shape[1]), order.reshape(-1)
+                score = s[rows_, cols]
+                ok = np.isfinite(score)
+                parts_.append((own[rows_][ok], ri[cols][ok], score[ok]))
+        got = [np.concatenate(c) for c in zip(*parts_)] if parts_ else [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
+        return pa.table({"query_id": got[0], "id": got[1], "score": got[2]})
 
     found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(block, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -70,3 +77,9 @@ def gated(strict: DataFrame, fused: DataFrame) -> DataFrame:
     """The strict list of the queries that have one, the fused list of the others."""
     hit = strict.select("query_id").distinct()
     return strict.select("query_id", "id", "rank").unionByName(fused.join(hit, "query_id", "left_anti").select("query_id", "id", "rank"))
+
+
+def id_differences(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of two id spaces that the other one lacks, with ``side`` a or b; lists may be fused if there are none."""
+    left, right = a.select(*columns), b.select(*columns)
+    return left.exceptAll(right).withColumn("side", F.lit("a")).unionByName(right.exceptAll(left).withColumn("side", F.lit("b")))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 KEY = ["package", "version"]
 
 
@@ -128,3 +130,54 @@ def sampled(chunks: DataFrame, n: int, seed: str = "1", least: int = 100) -> Dat
     """``n`` chunks of at least ``least`` characters outside change logs and indexes, the same for one seed."""
     fit = chunks.where((F.length("content") >= least) & ~F.coalesce(F.col("heading_path"), F.lit("")).rlike("(?i)changelog|index$|release notes"))
     return fit.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("chunk_id").cast("string"))), "chunk_id").limit(n)
+
+
+def remapped(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``chunks`` with ``store_page_id``: their page's id in one id space for all packs; null where the pack has no such page.
+
+    ``pages (package, version, id)``; ids of a store count from 1 in order of package, version and id.
+    """
+    ids = numbered(pages.select(*KEY, F.col("id").alias("page_id")).distinct(), [], [*KEY, "page_id"], "store_page_id")
+    return chunks.join(ids, [*KEY, "page_id"], "left")
+
+
+def reconciled(refs: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
+    """What two tables disagree about: ``key, state, n``.
+
+    'unknown' for references to no target (``n`` of them), 'repeated' for targets referred to more than once, 'missing' for
+    targets not referred to at all.  Null keys refer to nothing.
+    """
+    counted = refs.dropna(subset=key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    there = targets.dropna(subset=key).select(*key).distinct().withColumn("__there", F.lit(True))
+    both = counted.join(there, key, "full_outer")
+    state = F.when(F.col("__there").isNull(), "unknown").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated")
+    return both.select(*key, state.alias("state"), F.coalesce("n", F.lit(0)).alias("n")).where("state is not null")
+
+
+def statement_findings(rows: DataFrame, row_id: str, text: str, name: str, hard: tuple[int, int] = (8, 35), soft: tuple[int, int] = (10, 30), begins: tuple[str, ...] = ()) -> DataFrame:
+    """Findings on one-line statements: ``row_id, severity, finding``.
+
+    Failures: empty, of several lines, fewer or more words than ``hard``, another beginning than ``begins`` allows, naming
+    ``name``; warnings: fewer or more words than ``soft``.  Length is not judged twice.
+    """
+    said = F.btrim(F.col(text), F.lit(" \n\t\r"))
+    n = F.size(F.regexp_extract_all(said, F.lit(r"\S+"), F.lit(0)))
+    full = said != ""
+    found = [
+        ("failure", "empty", ~full),
+        ("failure", "lines", full & said.contains("\n")),
+        ("failure", "words", full & ~n.between(*hard)),
+        ("warning", "words", full & n.between(*hard) & ~n.between(*soft)),
+        ("failure", "beginning", full & ~F.lower(said).rlike("^(?:" + "|".join(begins) + ")") if begins else F.lit(False)),
+        ("failure", "name", full & F.array_contains(F.regexp_extract_all(F.lower(said), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower(F.col(name)))),
+    ]
+    each = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(f).alias("finding"))) for s, f, c in found]))
+    return rows.select(row_id, F.explode(each).alias("f")).select(row_id, "f.severity", "f.finding")
+
+
+def first_of(rows: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+    """The first ``k`` values of each group in order, and how many more there are: ``by, first, more``."""
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    top = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(value))).where(F.col("r") <= k)
+    shown = top.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("first"))
+    return shown.join(n, by).select(*by, "first", F.greatest(F.lit(0).cast("long"), F.col("n") - k).alias("more"))

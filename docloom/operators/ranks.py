@@ -5,14 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
+
+def running_total(df: DataFrame, group: list[str], order: list[str], value: str, into: str) -> DataFrame:
+    """Sum of ``value`` up to and with each row of its group in order of the columns ``order`` (unique within it).
+
+    Rows are put in order in ranges over all groups; a group is summed up range by range, so that none, however
+    large, meets in one task.
+    """
+    keys = [*group, *order]
+    placed = written(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))
+    inner = placed.withColumn(into, F.sum(value).over(Window.partitionBy("__range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = placed.groupBy("__range", *group).agg(F.sum(value).alias("__s"))
+    before = sums.withColumn("__lower", F.sum("__s").over(Window.partitionBy(*(group or [F.lit(1)])).orderBy("__range")) - F.col("__s")).drop("__s")  # a row a group and range
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ["__range", *group]]
+    return inner.alias("l").join(before.alias("r"), on).select("l.*", "r.__lower").withColumn(into, F.col(into) + F.col("__lower")).drop("__lower", "__range")
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], into: str) -> DataFrame:
+    """Dense numbers from 1 within ``group`` (all rows, if empty) in order of the columns ``order``, unique within it."""
+    return running_total(df.withColumn("__one", F.lit(1).cast("long")), group, order, "__one", into).drop("__one")
+
 
 def numbered_in_order(parts: DataFrame, group: list[str], outer: list[str], inner: str, into: str) -> DataFrame:
     """Dense numbers from 1 within ``group`` in the order of ``outer`` (say pages) and ``inner`` (a number from 0 within it).
 
     Only the counts of the outer items are ordered; their parts are lifted by what lies before.
     """
-    counts = parts.groupBy(*group, *outer).agg((F.max(inner) + 1).alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*group).orderBy(*outer)) - F.col("__n")).drop("__n")
+    counts = parts.groupBy(*group, *outer).agg((F.max(inner) + 1).cast("long").alias("__n"))
+    before = running_total(counts, group, outer, "__n", "__before").withColumn("__before", F.col("__before") - F.col("__n")).drop("__n")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, *outer]]
     return parts.alias("l").join(before.alias("r"), on).select("l.*", (F.col("r.__before") + F.col(f"l.{inner}") + 1).alias(into))
 

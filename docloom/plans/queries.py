@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,8 +15,9 @@ from ..functions.html import html_to_markdown
 from ..operators import evaluation, fusion, packs, search
 from ..operators.lint import CHECKS, lint
 from ..operators.ranks import order_statistics
-from ..session import table, written
-from ..sources.indexes import split_concatenated
+from ..session import shared_dir, table, written
+from ..sources.indexes import preferred_sitemap_pages, split_concatenated
+from ..sources import archives
 from ..sources.files import routed_pages
 from .build import build_chunks, with_cached_summaries
 from .crawl import crawl, link_table
@@ -131,41 +135,69 @@ def _ranked(found: DataFrame, k: int = fusion.DEPTH) -> DataFrame:
     return search.top(found, k).select("query_id", F.col("chunk_id").alias("id"), "rank")
 
 
-def _fused(spark: SparkSession, sf_dir: str, weight: float) -> tuple[DataFrame, DataFrame]:
+def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked chunks by vector: the n vectors of the table belong to the chunks by id modulo n."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = e.count()
+    ids = _index(spark, sf_dir)[0].chunks.select(F.col("chunk_id").alias("id"))
+    rows = ids.join(e, F.pmod("id", F.lit(n)) == F.col("vec_id")).select("id", "embedding")
+    return fusion.cosine_top(rows.where(F.col("id") % STEP == 0).withColumnRenamed("id", "query_id"), rows, fusion.DEPTH)
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lexical, strict and vector lists of the queries, over one space of ids."""
     index, queries = _index(spark, sf_dir)
-    lexical = _ranked(search.matches(index, queries))
-    strict = _ranked(search.matches(index, queries, "all"))
-    return strict, fusion.rank_fusion([(lexical, weight), (_vectors(spark, sf_dir), 1.0)])
+    return _ranked(search.matches(index, queries)), _ranked(search.matches(index, queries, "all")), _chunk_vectors(spark, sf_dir)
 
 
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, 1.0)[1].where("rank <= 20")
+    lexical, _, vectors = _lists(spark, sf_dir)
+    return fusion.rank_fusion([(lexical, 1.0), (vectors, 1.0)]).where("rank <= 20")
 
 
 def rank_fusion_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, 3.0)[1].where("rank <= 20")
+    lexical, _, vectors = _lists(spark, sf_dir)
+    return fusion.rank_fusion([(lexical, 3.0), (vectors, 1.0)]).where("rank <= 20")
 
 
 def gated_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strict, fused = _fused(spark, sf_dir, 1.0)
-    return fusion.gated(strict, fused).where("rank <= 20")
+    lexical, strict, vectors = _lists(spark, sf_dir)
+    return fusion.gated(strict, fusion.rank_fusion([(lexical, 1.0), (vectors, 1.0)])).where("rank <= 20")
+
+
+def fusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean metrics of each way to rank, and how many queries the strict search settles alone."""
+    lexical, strict, vectors = (written(x.select("query_id", "id", "rank")) for x in _lists(spark, sf_dir))
+    fused = {w: fusion.rank_fusion([(lexical, w), (vectors, 1.0)]) for w in (1.0, 2.0, 3.0)}
+    ways = {"lexical": lexical, "vector": vectors, "fused 1": fused[1.0], "fused 2": fused[2.0], "fused 3": fused[3.0], "gated": fusion.gated(strict, fused[1.0])}
+    own, classes = (written(x) for x in _classes(spark, sf_dir))
+    gated = strict.agg(F.count_distinct("query_id").alias("n_gated"))
+    rows = None
+    for way, ranked in ways.items():
+        scored = evaluation.class_metrics(ranked.select("query_id", "id", "rank"), own, classes)
+        means = scored.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 4).alias(m) for m in ("recall_1", "recall_5", "recall_20", "mrr", "ndcg_10")]).withColumn("way", F.lit(way))
+        rows = means if rows is None else rows.unionByName(means)
+    n_gated = gated.first()["n_gated"]  # one number
+    return rows.withColumn("n_gated", F.when(F.col("way") == "gated", F.lit(n_gated)))
 
 
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", T.unit_vector(F.col("embedding")).alias("u"))
-    return v.select("vec_id", *[F.round(F.element_at("u", i), 6).alias(f"u{i}") for i in (1, 2, 64)])
+    return v.select("vec_id", F.posexplode("u").alias("pos", "u")).select("vec_id", "pos", F.round("u", 6).alias("u"))
 
 
 # -- evaluation ---------------------------------------------------------------------------------------------
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of each query; gold is every chunk with the content of the query's chunk."""
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Content classes of the queries' chunks and of all chunks: gold is every chunk with the content of the query's chunk."""
+    classes = _index(spark, sf_dir)[0].chunks.select(F.col("chunk_id").alias("id"), F.sha2("content", 256).alias("class"))
+    return classes.where(F.col("id") % STEP == 0).withColumnRenamed("id", "query_id"), classes
+
+
+def _scored(spark: SparkSession, sf_dir: str, mode: str = "any") -> DataFrame:
     index, queries = _index(spark, sf_dir)
-    results = _ranked(search.matches(index, queries), 20)
-    own = index.chunks.select(F.col("chunk_id").alias("query_id"), F.sha2("content", 256).alias("h")).where(F.col("query_id") % STEP == 0)
-    gold = own.join(index.chunks.select(F.col("chunk_id").alias("id"), F.sha2("content", 256).alias("h")), "h").select("query_id", "id")
-    return evaluation.retrieval_metrics(results, gold)
+    return evaluation.class_metrics(_ranked(search.matches(index, queries, mode), 20), *_classes(spark, sf_dir))
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +219,87 @@ def question_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(ranks, "query_id", "left").select("query_id", "rank", "overlap", evaluation.tier(F.col("rank"), F.col("overlap")).alias("tier"))
 
 
+def _tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = _index(spark, sf_dir)[0].chunks.select(F.col("chunk_id").alias("query_id"), "source_url", "heading_path")
+    return question_tiers(spark, sf_dir).where("tier is not null").join(places, "query_id").select("query_id", "source_url", "heading_path", "tier")
+
+
+def question_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.question_set(_tiered(spark, sf_dir), "query_id").select("question_id", "query_id", "tier")
+
+
+def tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return question_ids(spark, sf_dir).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tier_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 5 by tier, of any-of and of all-of search, and the gap between them."""
+    tiers = written(question_tiers(spark, sf_dir).where("tier is not null").select("query_id", "tier"))
+    by = lambda mode, name: _scored(spark, sf_dir, mode).join(tiers, "query_id").groupBy("tier").agg(F.round(F.avg("recall_5"), 4).alias(name))
+    return by("any", "any_5").join(by("all", "all_5"), "tier").withColumn("gap", F.round(F.col("any_5") - F.col("all_5"), 4))
+
+
+def fetch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks fetched by id, thirty-two ids a request, in order of id, as many whole ones as fit a budget."""
+    index, queries = _index(spark, sf_dir)
+    got = search.fetch(index, queries.select(F.col("query_id").alias("chunk_id")), _packages(spark, sf_dir))
+    sized = got.select(F.floor(F.col("chunk_id") / (32 * STEP)).alias("query_id"), "chunk_id", F.expr("length(content) div 4").alias("cost")).withColumn("rank", F.col("chunk_id"))
+    return search.within_budget(sized, F.col("cost"), 2000).select(F.col("query_id").alias("request"), "chunk_id", "spent")
+
+
+def imported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the ids their pages get in a store of all packs."""
+    pages = packs.latest(table(spark, sf_dir, "pages").where("package is not null").select("id", "package", "version", "url", "ingested_at"), ["id"], "ingested_at")
+    chunks = table(spark, sf_dir, "chunks").select("id", "package", "version", "page_id").distinct()
+    return packs.remapped(chunks, pages).select("id", "package", "version", "page_id", "store_page_id")
+
+
+def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and the sections cut from them, held against each other both ways."""
+    return packs.reconciled(table(spark, sf_dir, "raw_chunks").select("page_id"), table(spark, sf_dir, "pages").select(F.col("id").alias("page_id")), ["page_id"])
+
+
+def summary_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.statement_findings(_chunks(spark, sf_dir).where("summary is not null"), "chunk_id", "summary", "package")
+
+
+def heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of each pack, different ones, and the first five with how many more there are."""
+    c = _chunks(spark, sf_dir).where("heading_path is not null")
+    counts = c.groupBy("package", "version").agg(F.count(F.lit(1)).alias("n_headings"), F.count_distinct("heading_path").alias("n_different"))
+    first = packs.first_of(c.select("package", "version", "heading_path").distinct(), ["package", "version"], "heading_path", 5)
+    return counts.join(first, ["package", "version"]).select("package", "version", "n_headings", "n_different", F.array_join("first", " | ").alias("first"), "more")
+
+
+def links_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target of a page's links once, at its first place."""
+    return page_links(spark, sf_dir).where("target is not null").groupBy("fetch_id", "target").agg(F.min("pos").alias("pos"))
+
+
+def verified_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packs as archives in the shared folder, and what the checks of these say."""
+    fields = ["id", "page_id", "heading_path", "content", "content_hash", "summary", "token_count", "source_url", "source_commit"]
+    pages = packs.latest(table(spark, sf_dir, "pages").select("id", "package", "version", "url", "title", F.col("content_hash"), "ingested_at"), ["id"], "ingested_at")
+    folder = f"{shared_dir(spark).rstrip('/').removeprefix('file://').removeprefix('file:')}/packs-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    made = written(archives.write_packs(table(spark, sf_dir, "chunks"), folder, fields, pages))
+    found = archives.verified(spark, "file://" + folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.coalesce("reason", F.lit("passed")).alias("state"))
+    return made.join(found.withColumn("file", F.url_decode("file")), "file", "left").select("package", "version", "n_chunks", F.coalesce("error", "state").alias("state"))
+
+
+def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of what a document's chunks hold, without white space and headings that nothing follows."""
+    per = markdown_chunks(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["content"]), "\n")
+    bare = F.regexp_replace(F.regexp_replace(text, _TAIL, ""), _BLANK, "")
+    return per.select("doc_id", bare.alias("b")).where("b != ''").select("doc_id", F.sha2("b", 256).alias("sha"))
+
+
+_BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: heading lines at the very end
+_TAIL = rf"(?:(?:^|\n){_BLANK}*#{{1,6}}(?:[ \t][^\n]*)?)+{_BLANK}*\z"
+
+
 def reference_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks' own places as stored references, held against all chunks, with every seventh hash forgotten."""
     c = _chunks(spark, sf_dir).withColumn("anchor", T.anchor(F.col("content")))
@@ -339,22 +452,37 @@ def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_table(table(spark, sf_dir, "fetched_html"), "final_url", "text")
 
 
-def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crawled URLs as linked sites: a start page a host, and under it binary trees of its pages, 64 a host."""
-    c = table(spark, sf_dir, "crawled_pages").select(U.dedup_key(F.col("url")).alias("url")).distinct()
-    p = c.select("url", F.regexp_extract("url", "^https?://[^/]+", 0).alias("host"), F.pmod(F.xxhash64("url"), F.lit(64)).alias("tree"))
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("host", "tree").orderBy("url")))
-    up = p.select("host", "tree", F.floor(F.col("n") / 2).alias("n"), F.concat(F.lit('<a href="'), F.col("url"), F.lit('">more</a>')).alias("a"))
-    below = up.groupBy("host", "tree", "n").agg(F.sort_array(F.collect_list("a")).alias("a"))  # at most two
-    starts = below.where("n = 0").groupBy("host").agg(F.array_join(F.sort_array(F.flatten(F.collect_list("a"))), "").alias("html"))
-    inner = p.join(below, ["host", "tree", "n"], "left").select("url", F.coalesce(F.array_join("a", ""), F.lit("")).alias("html"))
-    return inner.unionByName(starts.select(F.concat("host", F.lit("/")).alias("url"), "html"))
+def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fetched and crawled pages, the hosts' fetched pages as seeds under the host's root, and the links of both kinds of text."""
+    h, c = table(spark, sf_dir, "fetched_html"), table(spark, sf_dir, "crawled_pages")
+    pages = h.select(F.col("final_url").alias("url")).union(c.select("url"))
+    seeds = h.select(F.concat(F.lower(F.regexp_extract("final_url", "^(?i)(https?://[^/?#]+)", 1)), F.lit("/")).alias("start"), F.col("final_url").alias("url"))
+    marked = c.select("url", F.array_join(F.transform(F.regexp_extract_all("content", F.lit(r"\]\(([^)\s]+)\)"), F.lit(1)), lambda u: F.concat(F.lit("<a href=\""), u, F.lit("\">"))), "").alias("text"))
+    return pages, seeds, link_table(h.select(F.col("final_url").alias("url"), "text").union(marked), "url", "text")
 
 
 def crawl_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _site(spark, sf_dir)
-    seeds = pages.select(F.concat(F.regexp_extract("url", "^https?://[^/]+", 0), F.lit("/")).alias("url")).distinct()
-    return crawl(pages, seeds, url="url", html="html", max_depth=24)
+    pages, seeds, links = _site(spark, sf_dir)
+    return crawl(pages, seeds, url="url", table=links, fetched_only=False).select("start", "key", "depth")
+
+
+def crawl_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, seeds, links = _site(spark, sf_dir)
+    return crawl(pages, seeds, url="url", table=links, fetched_only=False, max_pages=12)
+
+
+def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages listed by the sitemaps of each host: its pages found by sitemap, a sitemap a folder and an index of them, as the site would serve them."""
+    c = table(spark, sf_dir, "crawled_pages").where("discovered_via = 'sitemap'").select("url").distinct()
+    host, folder = F.regexp_extract("url", "^(https?://[^/]+)/([^/?#]*)", 1), F.regexp_extract("url", "^(https?://[^/]+)/([^/?#]*)", 2)
+    loc = lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    parts = c.select(host.alias("host"), folder.alias("folder"), "url")
+    maps = parts.groupBy("host", "folder").agg(F.concat(F.lit("<urlset>"), F.array_join(F.sort_array(F.collect_set(loc(F.col("url")))), ""), F.lit("</urlset>")).alias("xml"))
+    maps = maps.select("host", F.concat("host", F.lit("/"), "folder", F.lit("/sitemap.xml")).alias("url"), "xml")
+    index = maps.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>")))), "").alias("x"))
+    every = maps.select("url", "xml").union(index.select(F.concat("host", F.lit("/sitemap.xml")), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>"))))
+    starts = index.select(F.concat("host", F.lit("/")).alias("start"), F.array(F.concat("host", F.lit("/nowhere/sitemap.xml")), F.concat("host", F.lit("/sitemap.xml"))).alias("candidates"))
+    return preferred_sitemap_pages(every, starts)
 
 
 def concatenated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -469,14 +597,36 @@ _VEC = f"""vec AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number()
   FROM embeddings a, embeddings b WHERE a.vec_id % {STEP} = 0)) WHERE rank <= 100)"""
 
 
-def _rrf(weight: float) -> str:
-    return f"""{_INDEX}, {_VEC},
+_CHUNK_VEC = f"""cv AS (SELECT chunk_id AS id, embedding::DOUBLE[] AS e FROM ch JOIN embeddings ON vec_id = chunk_id % (SELECT count(*) FROM embeddings)),
+vec AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM cv a, cv b WHERE a.id % {STEP} = 0)) WHERE rank <= 100)"""
+
+
+def _fused_sql(name: str, weight: float) -> str:
+    return f"""{name} AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank, id) AS rank FROM (
+  SELECT query_id, id, round(sum(w::DOUBLE / (60 + rank)), 9) AS score, arg_min(rank, list) AS first_rank FROM (
+    SELECT query_id, id, rank, 0 AS list, {weight} AS w FROM lex UNION ALL SELECT query_id, id, rank, 1, 1.0 FROM vec) GROUP BY 1, 2))"""
+
+
+_LISTS = f"""{_INDEX}, {_CHUNK_VEC},
 lex AS (SELECT query_id, chunk_id AS id, rank FROM {_top('m', 100)}),
-lists AS (SELECT query_id, id, rank, 0 AS list, {weight} AS w FROM lex UNION ALL SELECT query_id, id, rank, 1, 1.0 FROM vec),
-fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank, id) AS rank FROM (
-  SELECT query_id, id, round(sum(w::DOUBLE / (60 + rank)), 9) AS score, arg_min(rank, list) AS first_rank FROM lists GROUP BY 1, 2))"""
+strict AS (SELECT query_id, chunk_id AS id, rank FROM {_top('(SELECT m.* FROM m JOIN need USING (query_id) WHERE hits = n_terms)', 100)})"""
+
+
+def _rrf(weight: float) -> str:
+    return f"{_LISTS}, {_fused_sql('fused', weight)}"
+
+
+def _means(way: str, ranked: str) -> str:
+    """Mean metrics of a CTE of ranked lists, over all queries."""
+    per = f"""SELECT g.query_id, n_gold, {', '.join(f'round(count(*) FILTER (rank <= {c}) / n_gold, 9) AS recall_{c}' for c in (1, 5, 20))}, round(coalesce(1 / min(rank), 0), 9) AS mrr,
+      round(coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 10), 0) / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda i: 1 / log2(i + 1))), 9) AS ndcg_10
+      FROM sized g LEFT JOIN (SELECT r.query_id, rank FROM {ranked} r JOIN cls q ON q.id = r.query_id JOIN cls c ON c.id = r.id WHERE q.k = c.k) h ON h.query_id = g.query_id GROUP BY 1, 2"""
+    return f"SELECT '{way}' AS way, count(*) AS n, {', '.join(f'round(avg({x}), 4) AS {x}' for x in ('recall_1', 'recall_5', 'recall_20', 'mrr', 'ndcg_10'))} FROM ({per})"
 
 
+_CLASSES = f"""cls AS (SELECT chunk_id AS id, sha256(content) AS k FROM ch),
+sized AS (SELECT id AS query_id, n AS n_gold FROM cls JOIN (SELECT k, count(*) AS n FROM cls GROUP BY 1) USING (k) WHERE id % {STEP} = 0)"""
 _METRICS = f"""{_INDEX},
 res AS (SELECT query_id, chunk_id AS id, rank FROM {_top('m', 20)}),
 gold AS (SELECT a.chunk_id AS query_id, b.chunk_id AS id FROM ch a JOIN ch b ON sha256(a.content) = sha256(b.content) WHERE a.chunk_id % {STEP} = 0),
@@ -500,6 +650,33 @@ _LINKS = r"""WITH l AS (SELECT final_url, regexp_extract_all(text, '(?is)<a\s[^>
   r AS (SELECT final_url AS base, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(final_url, '(?i)^(https?://[^/?#]+)', 1) || href END AS url FROM x)"""
 _LINT = ", ".join(f"('{n}', '{p}')" for n, p in CHECKS.items())
 
+_TIERS = rf"""{_INDEX}, r AS (SELECT query_id, rank FROM {_top('m', 50)} WHERE chunk_id = query_id),
+        w AS (SELECT chunk_id AS query_id, {_words(f"coalesce({_LEAF}, '')")} AS a, {_words("content")} AS b FROM ch WHERE chunk_id % {STEP} = 0),
+        o AS (SELECT query_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) END AS overlap FROM w),
+        tiers AS (SELECT o.query_id, rank, overlap, CASE WHEN rank <= 5 OR overlap >= 0.15 THEN 'direct' WHEN rank <= 20 OR overlap >= 0.04 THEN 'paraphrase' WHEN rank <= 50 THEN 'vocabulary_mismatch' END AS tier
+        FROM o LEFT JOIN r USING (query_id))"""
+_QUESTIONS = """firsts AS (SELECT query_id, tier FROM tiers JOIN ch ON ch.chunk_id = query_id WHERE tier IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY source_url, heading_path, tier ORDER BY query_id) = 1),
+        questions AS (SELECT 'r' || lpad(row_number() OVER (ORDER BY query_id)::VARCHAR, 4, '0') AS question_id, query_id, tier FROM firsts)"""
+_RECALL = """SELECT g.query_id, count(h.query_id) / n_gold AS r FROM sized g LEFT JOIN (SELECT r.query_id FROM {} r JOIN cls q ON q.id = r.query_id JOIN cls c ON c.id = r.id WHERE q.k = c.k AND rank <= 5) h
+        ON h.query_id = g.query_id GROUP BY g.query_id, n_gold"""
+_CRAWL = rf"""x AS (SELECT final_url AS base, unnest(regexp_extract_all(text, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM fetched_html
+          UNION ALL SELECT url, unnest(regexp_extract_all(content, '\]\(([^)\s]+)\)', 1)) FROM crawled_pages),
+        y AS (SELECT base, href, regexp_extract(base, '(?i)^(https?://[^/?#]+)', 1) AS root, regexp_replace(regexp_replace(base, '[?#].*$', ''), '/[^/]*$', '/') AS folder FROM x),
+        z AS (SELECT base, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '(?i)^(https?:)', 1) || href WHEN starts_with(href, '/') THEN root || href
+          WHEN starts_with(href, '#') OR regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') OR href = '' THEN NULL
+          WHEN starts_with(href, '../') THEN (CASE WHEN length(regexp_replace(folder, '[^/]+/$', '')) > length(root) THEN regexp_replace(folder, '[^/]+/$', '') ELSE folder END) || substring(href, 4)
+          ELSE folder || regexp_replace(href, '^\./', '') END AS url FROM y),
+        t AS (SELECT base, url, regexp_replace({_CANON}, '/+$', '') AS to_key, string_split(lower({_PATH}), '/') AS seg, lower(string_split({_PATH}, '/')[-1]) AS last FROM z WHERE url IS NOT NULL),
+        f AS (SELECT DISTINCT base AS url, url AS to_url, to_key FROM t WHERE to_key IS NOT NULL
+          AND NOT list_has_any(list_concat(seg, list_transform(seg, lambda x: regexp_replace(x, '(.)\.[^.]+$', '\1'))), [{_NAMES}])
+          AND NOT (regexp_extract(last, '\.([^.]+)$', 1) IN ({_ASSET}) OR last = 'objects.inv')),
+        edge AS (SELECT DISTINCT regexp_replace({_CANON}, '/+$', '') AS from_key, lower(regexp_extract(to_url, '(?i)^https?://([^/?#]+)', 1)) AS host, to_key FROM f WHERE {_CANON} IS NOT NULL),
+        u AS (SELECT DISTINCT final_url AS url FROM fetched_html),
+        seed AS (SELECT DISTINCT lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1)) || '/' AS start, regexp_replace({_CANON}, '/+$', '') AS key FROM u WHERE {_CANON} IS NOT NULL),
+        reached(start, key, depth) AS (SELECT start, key, 0 FROM seed UNION SELECT r.start, e.to_key, r.depth + 1 FROM reached r JOIN edge e ON e.from_key = r.key
+          WHERE e.host = regexp_extract(r.start, '^https?://([^/]+)', 1) AND r.depth < 8)"""
+
 ORACLES = {
     "link_graph": rf"""{_LINKS}, t AS (SELECT base, url, regexp_replace({_CANON}, '/+$', '') AS to_key, string_split(lower({_PATH}), '/') AS seg, lower(string_split({_PATH}, '/')[-1]) AS last FROM r),
         f AS (SELECT DISTINCT base AS url, url AS to_url, to_key FROM t WHERE to_key IS NOT NULL
@@ -556,20 +733,58 @@ ORACLES = {
     "cosine_top": f"WITH {_VEC} SELECT * FROM vec WHERE rank <= 10",
     "rank_fusion": f"WITH {_rrf(1.0)} SELECT * FROM fused WHERE rank <= 20",
     "rank_fusion_weighted": f"WITH {_rrf(3.0)} SELECT * FROM fused WHERE rank <= 20",
-    "gated_fusion": f"""WITH {_rrf(1.0)}, strict AS (SELECT query_id, chunk_id AS id, rank FROM {_top('(SELECT m.* FROM m JOIN need USING (query_id) WHERE hits = n_terms)', 100)})
+    "gated_fusion": f"""WITH {_rrf(1.0)}
         SELECT query_id, id, rank FROM strict WHERE rank <= 20 UNION ALL
         SELECT query_id, id, rank FROM fused WHERE rank <= 20 AND query_id NOT IN (SELECT query_id FROM strict)""",
-    "unit_vectors": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
-        SELECT vec_id, round(e[1] / n, 6) AS u1, round(e[2] / n, 6) AS u2, round(e[64] / n, 6) AS u64 FROM v""",
+    "unit_vectors": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+        p AS (SELECT vec_id, n, generate_subscripts(e, 1) - 1 AS pos, unnest(e) AS x FROM v) SELECT vec_id, pos, round(x / n, 6) AS u FROM p""",
     "retrieval_metrics": f"WITH {_METRICS} SELECT * FROM per",
     "metric_slices": f"""WITH {_METRICS}, s AS (SELECT per.*, package, (n_gold > 1)::VARCHAR AS has_copies FROM per JOIN ch ON ch.chunk_id = query_id)
         SELECT package, has_copies, count(*) AS n, round(avg(recall_5), 4) AS recall_5, round(avg(mrr), 4) AS mrr, round(avg(ndcg_10), 4) AS ndcg_10
         FROM s GROUP BY GROUPING SETS ((), (package), (has_copies))""",
-    "question_tiers": rf"""WITH {_INDEX}, r AS (SELECT query_id, rank FROM {_top('m', 50)} WHERE chunk_id = query_id),
-        w AS (SELECT chunk_id AS query_id, {_words(f"coalesce({_LEAF}, '')")} AS a, {_words("content")} AS b FROM ch WHERE chunk_id % {STEP} = 0),
-        o AS (SELECT query_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) END AS overlap FROM w)
-        SELECT o.query_id, rank, overlap, CASE WHEN rank <= 5 OR overlap >= 0.15 THEN 'direct' WHEN rank <= 20 OR overlap >= 0.04 THEN 'paraphrase' WHEN rank <= 50 THEN 'vocabulary_mismatch' END AS tier
-        FROM o LEFT JOIN r USING (query_id)""",
+    "question_tiers": f"WITH {_TIERS} SELECT * FROM tiers",
+    "question_ids": f"""WITH {_TIERS}, {_QUESTIONS} SELECT question_id, query_id, tier FROM questions""",
+    "tier_counts": f"WITH {_TIERS}, {_QUESTIONS} SELECT tier, count(*) AS n FROM questions GROUP BY 1",
+    "tier_gaps": f"""WITH {_TIERS}, {_CLASSES}, lex AS (SELECT query_id, chunk_id AS id, rank FROM {_top('m', 20)}),
+        strict AS (SELECT query_id, chunk_id AS id, rank FROM {_top('(SELECT m.* FROM m JOIN need USING (query_id) WHERE hits = n_terms)', 20)}),
+        a AS (SELECT tier, round(avg(r), 4) AS any_5 FROM tiers JOIN ({_RECALL.format('lex')}) USING (query_id) WHERE tier IS NOT NULL GROUP BY 1),
+        b AS (SELECT tier, round(avg(r), 4) AS all_5 FROM tiers JOIN ({_RECALL.format('strict')}) USING (query_id) WHERE tier IS NOT NULL GROUP BY 1)
+        SELECT tier, any_5, all_5, round(any_5 - all_5, 4) AS gap FROM a JOIN b USING (tier)""",
+    "fusion_matrix": f"""WITH {_LISTS}, {_fused_sql('f1', 1.0)}, {_fused_sql('f2', 2.0)}, {_fused_sql('f3', 3.0)},
+        gate AS (SELECT query_id, id, rank FROM strict UNION ALL SELECT query_id, id, rank FROM f1 WHERE query_id NOT IN (SELECT query_id FROM strict)), {_CLASSES},
+        ways AS ({' UNION ALL '.join(_means(w, r) for w, r in (('lexical', 'lex'), ('vector', 'vec'), ('fused 1', 'f1'), ('fused 2', 'f2'), ('fused 3', 'f3'), ('gated', 'gate')))})
+        SELECT *, CASE WHEN way = 'gated' THEN (SELECT count(DISTINCT query_id) FROM strict) END AS n_gated FROM ways""",
+    "fetch_budget": f"""WITH {_CH}, f AS (SELECT DISTINCT chunk_id // {32 * STEP} AS request, chunk_id, length(content) // 4 AS cost FROM ch JOIN {_STATE} k ON k.name = package AND k.version = ch.version WHERE chunk_id % {STEP} = 0)
+        SELECT request, chunk_id, spent FROM (SELECT *, sum(cost) OVER (PARTITION BY request ORDER BY chunk_id) AS spent FROM f) WHERE spent <= 2000""",
+    "imported_pages": """WITH p AS (SELECT id, package, version FROM pages WHERE package IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, package DESC, version DESC NULLS LAST, url DESC NULLS LAST) = 1),
+        s AS (SELECT *, row_number() OVER (ORDER BY package, version NULLS FIRST, id) AS store_page_id FROM p)
+        SELECT c.id, c.package, c.version, c.page_id, store_page_id FROM (SELECT DISTINCT id, package, version, page_id FROM chunks) c
+        LEFT JOIN s ON s.package = c.package AND s.version = c.version AND s.id = c.page_id""",
+    "page_references": """WITH r AS (SELECT page_id, count(*) AS n FROM raw_chunks WHERE page_id IS NOT NULL GROUP BY 1), t AS (SELECT DISTINCT id AS page_id FROM pages WHERE id IS NOT NULL)
+        SELECT page_id, 'unknown' AS state, n FROM r WHERE page_id NOT IN (SELECT page_id FROM t)
+        UNION ALL SELECT page_id, CASE WHEN n IS NULL THEN 'missing' ELSE 'repeated' END, coalesce(n, 0) FROM t LEFT JOIN r USING (page_id) WHERE n IS NULL OR n > 1""",
+    "summary_capabilities": rf"""WITH {_CH}, a AS (SELECT chunk_id, package, trim(summary, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM ch WHERE summary IS NOT NULL),
+        b AS (SELECT *, len(regexp_extract_all(t, '\S+')) AS n FROM a)
+        SELECT chunk_id, 'failure' AS severity, 'empty' AS finding FROM b WHERE t = ''
+        UNION ALL SELECT chunk_id, 'failure', 'lines' FROM b WHERE t <> '' AND contains(t, chr(10))
+        UNION ALL SELECT chunk_id, 'failure', 'words' FROM b WHERE t <> '' AND n NOT BETWEEN 8 AND 35
+        UNION ALL SELECT chunk_id, 'warning', 'words' FROM b WHERE n BETWEEN 8 AND 35 AND n NOT BETWEEN 10 AND 30
+        UNION ALL SELECT chunk_id, 'failure', 'name' FROM b WHERE t <> '' AND list_contains(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+'), lower(package))""",
+    "heading_counts": f"""WITH {_CH}, h AS (SELECT package, version, list_sort(list(DISTINCT heading_path)) AS l, count(*) AS n FROM ch WHERE heading_path IS NOT NULL GROUP BY 1, 2)
+        SELECT package, version, n AS n_headings, len(l) AS n_different, array_to_string(l[1:5], ' | ') AS first, greatest(0, len(l) - 5) AS more FROM h""",
+    "links_first_seen": r"""WITH l AS (SELECT fetch_id, final_url, regexp_extract_all(text, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hrefs FROM fetched_html),
+        x AS (SELECT fetch_id, final_url, generate_subscripts(hrefs, 1) - 1 AS pos, unnest(hrefs) AS href FROM l)
+        SELECT fetch_id, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(final_url, '(?i)^(https?://[^/?#]+)', 1) || href END AS target, min(pos) AS pos
+        FROM x GROUP BY 1, 2 HAVING target IS NOT NULL""",
+    "verified_packs": "SELECT package, version, count(DISTINCT id) AS n_chunks, CASE WHEN bool_or(page_id < 1) THEN 'records: page_id' ELSE 'passed' END AS state FROM chunks GROUP BY 1, 2",
+    "chunk_cover": rf"""WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '{_TAIL}', ''), '{_BLANK}', '', 'g') AS b FROM documents)
+        SELECT doc_id, sha256(b) AS sha FROM b WHERE b <> ''""",
+    "crawl_levels": f"WITH RECURSIVE {_CRAWL} SELECT start, key, min(depth) AS depth FROM reached GROUP BY 1, 2",
+    "crawl_capped": f"""WITH RECURSIVE {_CRAWL}, r AS (SELECT start, key, min(depth) AS depth FROM reached GROUP BY 1, 2),
+        n AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, key) AS n, count(*) OVER (PARTITION BY start) > 12 AS truncated FROM r)
+        SELECT start, key, depth, truncated FROM n WHERE n <= 12""",
+    "sitemap_pages": """SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) || '/' AS start, url AS page FROM crawled_pages WHERE discovered_via = 'sitemap'""",
     "reference_drift": rf"""WITH {_CH}, c AS (SELECT *, substring(regexp_replace(trim(content), '\s+', ' ', 'g'), 1, 80) AS anchor FROM ch),
         g AS (SELECT chunk_id AS ref_id, source_url, CASE WHEN chunk_id % 9 = 0 THEN heading_path || '?' ELSE heading_path END AS heading_path,
           CASE WHEN chunk_id % 7 = 0 THEN 'sha256:gone' ELSE content_hash END AS content_hash, anchor FROM c),
@@ -657,6 +872,20 @@ QUERIES = {
         retrieval_metrics,
         metric_slices,
         question_tiers,
+        fusion_matrix,
+        question_ids,
+        tier_counts,
+        tier_gaps,
+        fetch_budget,
+        imported_pages,
+        page_references,
+        summary_capabilities,
+        heading_counts,
+        links_first_seen,
+        chunk_cover,
+        verified_packs,
+        crawl_capped,
+        sitemap_pages,
         reference_drift,
         reference_cascade,
         reference_chunks,

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import evaluation as E
@@ -117,3 +118,43 @@ def test_rank_fusion(spark):
     strict = a.where("query_id = 2")
     gate = {(r.query_id, r.id, r.rank) for r in U.gated(strict, U.rank_fusion([(a, 1.0), (b, 1.0)])).collect()}
     assert (2, 5, 1) in gate and (1, 30, 1) in gate
+
+
+def test_metrics_by_class_equal_metrics_by_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    classes = spark.createDataFrame([(i, f"c{rng.randrange(6)}") for i in range(40)], "id long, class string")
+    own = classes.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    results = spark.createDataFrame([(q, i, r + 1) for q in range(0, 40, 5) for r, i in enumerate(rng.sample(range(40), 25))], "query_id long, id long, rank int")
+    gold = own.join(classes, "class").select("query_id", "id")
+    a = sorted(map(tuple, E.retrieval_metrics(results, gold).collect()))
+    assert a == sorted(map(tuple, E.class_metrics(results, own, classes).collect())) and len(a) == 8
+    with pytest.raises(ValueError):
+        E.retrieval_metrics(results, gold, cuts=(0, 5))
+    assert [r.query_id for r in E.without_gold(spark.createDataFrame([(0,), (99,)], "query_id long"), gold).collect()] == [99]
+
+
+def test_question_sets(spark):
+    rows = [("u", "h", "direct", 7, "x"), ("u", "h", "direct", 3, "y"), ("u", "h", "paraphrase", 5, "z"), (None, "h", "direct", 1, "n")]
+    got = E.question_set(spark.createDataFrame(rows, "source_url string, heading_path string, tier string, at long, q string"), "at").collect()
+    assert {(r.question_id, r.q) for r in got} == {("r0001", "n"), ("r0002", "y"), ("r0003", "z")}
+
+
+def test_numbers_in_order_over_many_ranges(spark):
+    from docloom.operators.ranks import numbered, running_total
+
+    df = spark.range(5000).selectExpr("id % 3 AS g", "(id * 7919) % 5000 AS o", "1L AS v").repartition(7)
+    got = numbered(df, ["g"], ["o"], "n").collect()
+    want = {}
+    for r in sorted(got, key=lambda r: r.o):
+        want[r.g] = want.get(r.g, 0) + 1
+        assert r.n == want[r.g]
+    assert sorted(r.n for r in numbered(df, [], ["o"], "n").collect()) == list(range(1, 5001))
+    assert running_total(df.limit(0), ["g"], ["o"], "v", "s").count() == 0
+
+
+def test_id_spaces(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, h string")
+    b = spark.createDataFrame([(2, "z"), (1, "x")], "id long, h string")
+    assert {(r.id, r.h, r.side) for r in U.id_differences(a, b, ["id", "h"]).collect()} == {(2, "y", "a"), (2, "z", "b")}

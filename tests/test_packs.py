@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import packs as P
 from docloom.sources import archives as A
-from docloom.sources.indexes import index_links, sitemap_urls, split_concatenated
+from docloom.sources.indexes import collected_sitemap_pages, index_links, preferred_sitemap_pages, sitemap_urls, split_concatenated
 from docloom.streaming.imports import import_stream
 
 SCHEMA = "package string, version string, id long, page_id long, content string"
@@ -82,3 +82,88 @@ def test_text_indexes(spark):
     assert got == [(1, 1, "https://x/1", "last\nSource: not a marker"), (1, 2, "https://x/3", "three"), (4, 1, "https://x/9", "first")]
     xml = '<urlset xmlns="u"><url><loc> https://x/a?b&amp;c </loc></url><s:url><s:loc>https://x/d</s:loc></s:url></urlset>'
     assert spark.createDataFrame([(xml,)], "x string").select(sitemap_urls(F.col("x")).alias("u")).first().u == ["https://x/a?b&c", "https://x/d"]
+
+
+def test_archives_are_checked_before_they_are_read(spark, tmp_path):
+    df = spark.createDataFrame([("a", "1", 2, 1, "two"), ("a", "1", 1, None, "one")], SCHEMA)
+    pages = spark.createDataFrame([("a", "1", 7, "https://x/a", None, "h"), ("z", "1", 8, "u", None, None)], "package string, version string, id long, url string, title string, content_hash string")
+    A.write_packs(df, str(tmp_path), ["id", "page_id", "content"], pages).collect()
+    good = (tmp_path / "a@1.ctx").read_bytes()
+    with zipfile.ZipFile(tmp_path / "a@1.ctx") as z:
+        held = {i.filename: z.read(i) for i in z.infolist()}
+    assert b"https://x/a" in held["pages.json"] and b'"z"' not in held["pages.json"]
+
+    def pack(name, change=None, drop=(), extra=(), redigest=False):
+        entries = {k: v for k, v in held.items() if k not in drop} | dict(change or {})
+        if redigest:
+            m = A.json.loads(entries["manifest.json"])
+            m["pack_digest"] = A.digest_of([(k, v) for k, v in entries.items()])
+            entries["manifest.json"] = A._json(m)
+        with zipfile.ZipFile(tmp_path / f"{name}.ctx", "w") as z:
+            for k, v in entries.items():
+                z.writestr(k, v)
+            for info in extra:
+                z.writestr(info, "x")
+
+    link = zipfile.ZipInfo("l")
+    link.external_attr = 0o120777 << 16
+    (tmp_path / "broken.ctx").write_text("no zip")
+    pack("nomanifest", drop=["manifest.json"])
+    pack("badjson", {"manifest.json": b"{"})
+    pack("field", {"manifest.json": held["manifest.json"].replace(b'"package"', b'"pack"')})
+    pack("up", extra=["a/../../b"])
+    pack("abs", extra=["C:/x"])
+    pack("link", extra=[link])
+    pack("tampered", {"chunks.jsonl": held["chunks.jsonl"].replace(b"two", b"2")})
+    pack("text", {"chunks.jsonl": held["chunks.jsonl"].replace(b"two", b"2")}, redigest=True)
+    pack("record", {"chunks.jsonl": held["chunks.jsonl"].replace(b'"id": 2', b'"id": -2')}, redigest=True)
+    pack("nopages", drop=["pages.json"], redigest=True)
+    got = {r.path.rsplit("/", 1)[-1].split(".")[0].replace("%40", "@"): (r.step, r.reason) for r in A.verified(spark, str(tmp_path)).collect()}
+    steps = {k: v[0] for k, v in got.items()}
+    assert steps == {"a@1": None, "broken": 1, "nomanifest": 1, "badjson": 1, "field": 2, "up": 4, "abs": 4, "link": 4, "tampered": 6, "text": 7, "record": 7, "nopages": 7}
+    assert got["text"][1] == "content hash mismatch" and got["record"][1] == "records: id"
+    rows = A.read_chunks(spark, str(tmp_path)).collect()
+    assert [(r.id, r.content) for r in rows if r.reason is None] == [(1, "one"), (2, "two")] and sum(r.reason is not None for r in rows) == 11
+    assert A.checked(good)[0] is None
+
+
+def test_limits_hold_before_anything_is_unpacked(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("a", "1", i, 1, "word " * 10) for i in range(20)], SCHEMA)
+    A.write_packs(df, str(tmp_path), ["id", "content"]).collect()
+    good = (tmp_path / "a@1.ctx").read_bytes()
+    for limit, value, reason in (("MAX_ENTRY_BYTES", 900, "entry too large: chunks.jsonl"), ("MAX_ENTRIES", 2, "too many entries"), ("MAX_TOTAL_BYTES", 1000, "archive too large")):
+        with monkeypatch.context() as m:
+            m.setattr(A, limit, value)
+            assert A.checked(good)[:2] == (5, reason)
+
+
+def test_stores_statements_and_listings(spark):
+    pages = spark.createDataFrame([("b", "1", 1), ("a", "1", 5), ("a", "1", 2), ("a", "1", 2), ("a", "2", 2)], "package string, version string, id long")
+    chunks = spark.createDataFrame([("a", "1", 1, 5), ("a", "1", 2, None), ("a", "2", 3, 5), ("b", "1", 4, 1)], "package string, version string, id long, page_id long")
+    assert {r.id: r.store_page_id for r in P.remapped(chunks, pages).collect()} == {1: 2, 2: None, 3: None, 4: 4}
+    refs = spark.createDataFrame([(1,), (1,), (2,), (9,), (None,)], "k int")
+    targets = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "k int")
+    assert {(r.k, r.state, r.n) for r in P.reconciled(refs, targets, ["k"]).collect()} == {(1, "repeated", 2), (9, "unknown", 1), (3, "missing", 0)}
+    said = [(1, "", "p"), (2, None, "p"), (3, "to show " + "w " * 40, "p"), (4, "To show a thing that is\nvery well done here", "p"), (5, "show how the P is set up in nine", "p"), (6, "to do " + "it " * 10, "p")]
+    got = P.statement_findings(spark.createDataFrame(said, "i int, t string, n string"), "i", "t", "n", begins=("to ",)).collect()
+    assert {(r.i, r.severity, r.finding) for r in got} == {
+        (1, "failure", "empty"), (3, "failure", "words"), (4, "failure", "lines"), (5, "failure", "beginning"), (5, "failure", "name"), (5, "warning", "words"),
+    }
+    few = P.first_of(spark.createDataFrame([("x", c) for c in "gfedcba"] + [("y", "q")], "g string, v string"), ["g"], "v", 5).collect()
+    assert {r.g: (r.first, r.more) for r in few} == {"x": (list("abcde"), 2), "y": (["q"], 0)}
+
+
+def test_sitemaps(spark):
+    maps = [
+        ("i", "<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><loc>i</loc></sitemap><sitemap><loc>gone</loc></sitemap></sitemapindex>"),
+        ("a", "<urlset><url><loc>p1</loc></url><url><loc>p2</loc></url></urlset>"),
+        ("b", "<urlset><url><loc>p2</loc></url></urlset>"),
+        ("e", "<urlset></urlset>"),
+        ("n", None),
+    ]
+    sitemaps = spark.createDataFrame(maps, "url string, xml string")
+    starts = spark.createDataFrame([("s", "i"), ("s", "b"), ("t", "b"), ("u", "e")], "start string, url string")
+    assert {(r.start, r.page) for r in collected_sitemap_pages(sitemaps, starts).collect()} == {("s", "p1"), ("s", "p2"), ("t", "p2")}
+    assert {(r.start, r.page) for r in collected_sitemap_pages(sitemaps, starts, max_fetches=2).collect()} == {("s", "p2"), ("t", "p2")}
+    prefer = spark.createDataFrame([("s", ["gone", "e", "b", "i"]), ("t", ["n"])], "start string, candidates array<string>")
+    assert {(r.start, r.page) for r in preferred_sitemap_pages(sitemaps, prefer).collect()} == {("s", "p2")}

@@ -145,3 +145,10 @@ def test_crawl(spark):
     got = {(r.key.rsplit("/", 1)[-1], r.depth) for r in crawl(df, df.limit(1).select("url"), url="url", html="html").collect()}
     assert got == {("d", 0), ("a.html", 1), ("b.html", 2)}
     assert crawl(df, df.limit(0).select("url"), url="url", html="html").count() == 0
+    deep = spark.createDataFrame([(f"https://x.example/d/{i:03}", f"<a href='/d/{i + 1:03}'>n</a><a href='/d/z{i:03}'>z</a>") for i in range(8)], "url string, html string")
+    seed = deep.limit(1).select("url").withColumn("start", F.lit("https://x.example/"))
+    every = crawl(deep, seed, url="url", html="html", fetched_only=False).collect()
+    assert max(r.depth for r in every) == 8 and len(every) == 17 and not any(r.truncated for r in every)
+    some = crawl(deep, seed, url="url", html="html", fetched_only=False, max_pages=10).collect()
+    assert {(r.key, r.depth) for r in some} == {(r.key, r.depth) for r in sorted(every, key=lambda r: (r.depth, r.key))[:10]} and all(r.truncated for r in some)
+    assert not any(r.truncated for r in crawl(deep, seed, url="url", html="html", fetched_only=False, max_pages=17).collect())
