@@ -28,7 +28,7 @@ MODEL = "models/sentences.npz"
 BUCKETS = 1 << 16
 DISTANCES = (4, 12)
 
-MARKS = ".!?…。！？｡।॥۔።؟;;։။៕។"
+MARKS = ".!?…。！？｡।॥۔؟;;։။៕។" + "\u0f0d\u0f0e\u1362\u1367"  # the last ones Tibetan, Ethiopic
 _MARK = re.compile(rf"[{MARKS}]+")
 _BARE = "฀-๿຀-໿"  # Thai, Lao
 _HAS_BARE = re.compile(f"[{_BARE}]")
@@ -118,7 +118,7 @@ def _opens(token: str) -> str:
     c = token[0]
     if c in "`(（“„«「『\"¿¡[‘":
         return c
-    if "_" in token and c.isalpha():
+    if "_" in token and c.isalpha() or c.islower() and not token.islower():  # commit_page, macOS
         return "id"
     return script(c) if script(c) != "p" else c
 
@@ -161,6 +161,7 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, tuple[str, st
     unit = text[start:end]
     spans = [(m.start(), m.end(), unit[m.start()]) for m in _SPAN.finditer(unit)] if _HAS_SPAN.search(unit) else []
     closing = {b - 1 for _, b, c in spans if c != "`"}
+    small = "l" if unit.islower() else ""  # written without capitals, which begin no sentence then
     out = []
     k, size = 0, len(unit)
     for m in _MARK.finditer(unit):
@@ -191,7 +192,7 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, tuple[str, st
         glued = _GLUED.match(before)
         if glued:
             before = glued[1]  # a sentence that began without a space
-        inside = "" if held is None or e >= held[1] else "(" if held[2] in "(（[" else "q"
+        inside = small + ("" if held is None or e >= held[1] else "(" if held[2] in "(（[" else "q")
         out.append((start + e, (before[-16:], m[0][:4], unit[b:e].strip(), gap, after.split(None, 1)[0][:16], inside)))
     if _HAS_BARE.search(unit):
         for m in _BARE_GAP.finditer(unit):

@@ -17,11 +17,15 @@ LEADING = set(
 # Abbreviations that may end one, if a sentence begins behind them.
 TRAILING = set("etc inc ltd co corp jr p.m a.m u.s u.k usw г д др al".split())
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember".split())
-UNCASED_ENDS = set("。！？｡।॥۔።؟։။៕។")
+# States, and bodies and things of theirs that are named behind them.
+STATES = set("u.s u.k u.n e.u".split())
+BODIES = set("army navy air congress senate government department president dollar dollars supreme court treasury constitution house parliament commission council embassy census bureau postal open".split())
+UNCASED_ENDS = set("。！？｡।॥۔።؟։။៕។") | set("\u0f0d\u0f0e\u1362\u1367")  # the last ones Tibetan, Ethiopic
 
 
 def label(context: tuple[str, str, str, str, str, str]) -> bool:
     before, marks, closers, gap, after, inside = context
+    inside = inside.lstrip("l")  # the mark of a unit without capitals
     if inside:
         return False
     if not marks:
@@ -43,7 +47,9 @@ def label(context: tuple[str, str, str, str, str, str]) -> bool:
         return False
     if mark == "." and marks == "." and not closers:
         if low in LEADING:
-            return bool(before == "Г" and False)
+            return False
+        if low in STATES and after.lower().strip(".,;:") in BODIES:
+            return False
         if shape == "A" and script(before[-1]) == "U" and opens in ("U", "`"):
             return False  # an initial
         if shape == "0" and after.lower().strip(".,") in MONTHS:

@@ -68,7 +68,7 @@ def test_held_out_accuracy(spark, sf):
     from docloom.llm.training.furniture_labels import labels
 
     if not Path(sf).exists():
-        pytest.skip("no held-out table")
+        sf = "/root/testdata/sf0.01"  # its pages are others than those of the training table
     texts = [r.content for r in spark.read.parquet(f"{sf}/crawled_pages.parquet").where(F.col("crawl_id") % 8 == 0).select("content").collect()]
     wrong = total = 0
     for t, got in zip(texts, furniture_lines(texts)):

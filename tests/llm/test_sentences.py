@@ -47,6 +47,27 @@ def test_unspaced_scripts(parts):
     assert cut("".join(parts)) == parts
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["Mr. Smith went to St. Louis yesterday.", "He liked it."],
+        ["Prof. J. K. Rowe of No. 5 St. James met Mrs. Lee.", "They spoke."],
+        ["Am 3. Oktober war es kalt.", "Dann kam Schnee."],
+        ["The U.S. Army moved.", "It rained."],
+        ["He lives in the U.S.", "The army moved."],
+        ["It is big.", "iPhone sales rose.", "macOS did too."],
+        ["Version 2.0 is out.", "3 users like it."],
+        ["see fig. 3 for it.", "then go on.", "it works."],
+        ["မြန်မာစာ ဖြစ်သည်။", "နောက်တစ်ခု ဖြစ်သည်။"],
+        ["នេះជាប្រយោគ។", "នេះជាប្រយោគទីពីរ។"],
+        ["བོད་ཡིག་ཡིན།", "གཉིས་པ་ཡིན།"],
+        ["ሰላም ነው።", "ደህና ነው።"],
+    ],
+)
+def test_beyond_the_tables(parts):
+    assert cut(" ".join(parts)) == parts
+
+
 def test_missing_space_before_an_initial():
     assert cut("It is nested.J. K. Dorvane wrote `x`. So") == ["It is nested.", "J. K. Dorvane wrote `x`.", "So"]
     assert cut("Les données.M. Sundreth a réécrit `x`.") == ["Les données.", "M. Sundreth a réécrit `x`."]
@@ -96,13 +117,13 @@ def test_rows(spark):
 
 
 def test_held_out_accuracy(spark):
-    """Against the training rules, on other documents than the training ones."""
+    """Against the training rules, on other documents than the training ones: those never trained on, or another table's."""
+    from docloom.llm.training.fit_sentences import HELD
     from docloom.llm.training.sentence_labels import label
 
-    sf = "/root/testdata/check_s"
-    if not Path(sf).exists():
-        pytest.skip("no held-out table")
-    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 10 = 0 and text is not null").select("text").collect()]
+    other = Path("/root/testdata/check_s").exists()
+    sf = "/root/testdata/check_s" if other else "/root/testdata/sf0.01"
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where(f"doc_id % 10 = {HELD} and text is not null").select("text").collect()]
     tagger, wrong, seen = Tagger.shipped(), 0, 0
     for t in texts:
         for a, b, p in units(t):
@@ -110,4 +131,4 @@ def test_held_out_accuracy(spark):
                 ends = set(tagger.ends(t, p, b))
                 for at, c in candidates(t, p, b):
                     wrong, seen = wrong + ((at in ends) != label(c)), seen + 1
-    assert seen > 5000 and wrong < 0.002 * seen
+    assert seen > (5000 if other else 1000) and wrong < 0.002 * seen
