@@ -60,6 +60,8 @@ def made_up(rng, n: int) -> list[tuple[str, set[int]]]:
             return f"{pick([pick(titles).capitalize() + '. ' + name(), name()])} {words(1, 4)} {pick([pick(titles).capitalize(), pick(latin)])}. {pick([name(), name(), str(rng.integers(1, 90))])} {words(0, 4)}".rstrip() + end
         if k == 3:
             return f"{name()} {words(0, 3)} {rng.integers(1, 32)}. {pick(months).capitalize()} {words(1, 5)}{end}"
+        if k == 4 and rng.random() < 0.5:
+            return f"{name()} {words(0, 3)} {pick(states).upper()}."
         if k == 4:
             return f"{name()} {words(0, 3)} {pick(states).upper()}. {pick(bodies).capitalize()} {words(1, 4)}{end}"
         if k == 5:
@@ -72,7 +74,9 @@ def made_up(rng, n: int) -> list[tuple[str, set[int]]]:
             return f"{name()} {words(1, 3)} {pick('ABDJKLMR')}. {pick('ABDJKLMR')}. {name()} {words(0, 3)}".rstrip() + end
         if k == 9:
             return f"{name()} {words(1, 4)} {rng.integers(0, 99)}.{rng.integers(0, 99)} {words(1, 4)}{end}"
-        return f"{name()} {words(2, 8)}{end}"
+        if k == 10:
+            return f"{name()} {words(1, 3)} {pick('abcdefghijklmnopqrstuvwxyz')}{end}"
+        return f"{pick('The It They He We This In You'.split())} {words(2, 8)}{end}"
 
     out = []
     for i in range(n):
