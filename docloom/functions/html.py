@@ -14,6 +14,7 @@ DROPPED_TAGS = {"nav", "header", "footer", "aside", "script", "style", "noscript
 DROPPED_CLASSES = {"sphx-glr-download-link-note", "sphx-glr-footer", "sphx-glr-timing", "sphx-glr-signature", "bd-sidebar-secondary"}
 DROPPED_IDS = {"fixed-sidebar", "docs-sidebar", "docs-top-navigation-container", "narrow-index-nav", "docs-narrow-top-navigation"}
 
+_SIGN = re.compile(r"\[¶\]\([^)]*\)|¶")
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 _MAIN = (re.compile(r"<main\b[^>]*>(.*?)</main>", re.S | re.I), None, re.compile(r"<article\b[^>]*>(.*?)</article>", re.S | re.I), re.compile(r"<body\b[^>]*>(.*)</body>", re.S | re.I))
 _ROLE = re.compile(r"<(\w+)\b[^>]*\brole\s*=\s*[\"']?main\b", re.I)
@@ -127,9 +128,12 @@ def markdown_of(html: str) -> str:
     w = _Writer()
     w.feed(part)
     w.close()
-    text = re.sub(r"\[¶\]\([^)]*\)|¶", "", "".join(w.out))
-    text = re.sub(r"[ \t]+\n", "\n", text)
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    lines: list[str] = []
+    for line in "".join(w.out).split("\n"):
+        line = _SIGN.sub("", line).rstrip(" \t")
+        if line or lines and lines[-1]:  # a run of blank lines is one
+            lines.append(line)
+    return "\n".join(lines).strip()
 
 
 @F.pandas_udf(StringType())

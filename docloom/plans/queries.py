@@ -429,6 +429,12 @@ def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("fetch_id", html_to_markdown("text").alias("markdown"))
 
 
+def html_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of the letters of each page's Markdown, without link targets."""
+    shown = F.regexp_replace(F.regexp_replace("markdown", r"\]\([^)]*\)", ""), "[^A-Za-z]+", "")
+    return html_markdown(spark, sf_dir).select("fetch_id", F.sha2(shown, 256).alias("sha"))
+
+
 def url_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
     p = table(spark, sf_dir, "pages").select("url").where("url is not null").distinct()
@@ -837,6 +843,10 @@ ORACLES = {
         d AS (SELECT crawl_id, regexp_replace(regexp_replace(regexp_replace(t, '(?ms)(^```.*?^```[^\n]*$)|\{`([^`\n]*)`\}', '\1\2', 'g'), '(?ms)(^```.*?^```[^\n]*$)|\{"([^"\n]*)"\}', '\1\2', 'g'),
           '(?ms)(^```.*?^```[^\n]*$)|\{''([^''\n]*)''\}', '\1\2', 'g') AS t FROM c)
         SELECT DISTINCT crawl_id, sha256(regexp_replace(regexp_replace(t, '(?ms)(^```.*?^```[^\n]*$)|\{[^{}\n]*\}', '\1', 'g'), '(?m)^(#{1,6} .*?)<sup>.*?</sup>', '\1', 'g')) AS sha FROM d""",
+    "html_letters": rf"""WITH h AS (SELECT fetch_id, regexp_replace(coalesce(nullif(regexp_extract(text, '(?is)<body\b[^>]*>(.*)</body>', 1), ''), text), '(?s)<!--.*?-->', '', 'g') AS t FROM fetched_html
+          WHERE coalesce(content_type, 'text/html') IN ({', '.join(f"'{x}'" for x in U.HTML_TYPES)})),
+        d AS (SELECT fetch_id, regexp_replace(t, '(?is){'|'.join(rf'<{x}\b[^>]*>.*?</{x}\s*>' for x in ('nav', 'header', 'footer', 'aside', 'script', 'style', 'noscript'))}', '', 'g') AS t FROM h)
+        SELECT fetch_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '<[a-zA-Z/!][^>]*>', '', 'g'), '&(?:lt|gt|amp|quot|nbsp|[#]x?[0-9a-fA-F]+);', '', 'g'), '[^A-Za-z]+', '', 'g')) AS sha FROM d""",
     "url_columns": rf"""WITH p AS (SELECT DISTINCT url, {_CANON} AS canonical, {_PATH} AS path FROM pages WHERE url IS NOT NULL),
         s AS (SELECT *, string_split(lower(path), '/') AS seg, string_split(path, '/')[-1] AS last FROM p)
         SELECT url, canonical, regexp_replace(canonical, '/+$', '') AS dedup_key,
@@ -904,6 +914,7 @@ QUERIES = {
         summaries,
         markdown_chunks,
         html_markdown,
+        html_letters,
         url_columns,
         page_links,
         link_graph,
