@@ -7,8 +7,8 @@ counted over all lines; only those that hold enough documents of their source go
 line found in most documents stands for the cluster, the others belong to it from similarity 0.8 up, and
 the cluster's documents are counted exactly.
 
-Counting is by (source, bucket) with the documents spread first, so that no source and no line, however
-frequent, meets in one task.  Texts are never shuffled by the search.
+Every text is parsed once, into lines as numbers; counting is by (source, bucket) and (source, line) with the
+documents spread first, so that no source and no line, however frequent, meets in one task.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from ..session import written
 
 SHINGLE, BANDS, SIMILARITY = 5, 3, 0.8
 MIN_SHARE, MIN_DOCUMENTS = 0.03, 5
-#: hot buckets up to this number travel to the tasks as one array of 8 bytes each; beyond it they are joined
+#: tables of hot buckets and keys, a few numbers a row, are sent to all tasks up to this number of rows and joined beyond
 MAX_SHIPPED = 400_000
+#: the same for cases, which carry a line's text
+MAX_CASES = 50_000
 
 # Month names and their short forms, English, German, French, Spanish, Portuguese.
 _MONTHS = (
@@ -150,32 +152,31 @@ def _read(batch: pa.RecordBatch):
     return np.array(rows, "int64"), np.array(numbers, "int64"), keys, source.view("int64"), bucket.view("int64")
 
 
-def _emit_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every candidate line: its place, the hash of its masked text, its buckets, and once a batch the masked text itself."""
     for batch in batches:
-        rows, _, keys, source, bucket = _read(batch)
-        ids = batch.column(1).to_numpy(zero_copy_only=False)[rows]
+        rows, numbers, keys, source, bucket = _read(batch)
+        first: dict[tuple, int] = {}
+        for i, place in enumerate(zip(source.tolist(), keys)):
+            first.setdefault(place, i)
+        once = np.zeros(len(rows), bool)
+        once[list(first.values())] = True
         # lines of one shingle have one min-hash in effect: their first band is enough
-        short = np.array([k.count(" ") < SHINGLE for k in keys], bool)
-        for b in range(BANDS):
-            keep = ~short if b else np.ones(len(ids), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(source[keep]), pa.array(bucket[keep, b]), pa.array(ids[keep], "int64")], ["source", "bucket", "id"])
-
+        size = np.where(np.fromiter((k.count(" ") < SHINGLE for k in keys), bool, len(keys)), 1, BANDS)
+        at = np.r_[0, np.cumsum(size)]
+        kept = np.arange(BANDS)[None, :] < size[:, None]
+        lists = pa.ListArray.from_arrays(pa.array(at, "int32"), pa.array(bucket.reshape(-1, BANDS)[kept], "int64"))
+        of = batch.column(1).cast("int64").take(pa.array(rows))
+        key = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), "uint64", len(keys)).view("int64")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(source), of, pa.array(numbers, "int32"), pa.array(key), lists, pa.array([k if o else None for k, o in zip(keys, once)], "string")],
+            ["source", "id", "line_no", "key", "buckets", "masked"],
+        )
 
-def _emit_lines(hot):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, numbers, keys, source, bucket = _read(batch)
-            if hot is not None and len(rows):
-                table = hot.value
-                at = np.minimum(np.searchsorted(table, bucket), max(0, len(table) - 1))
-                hit = (table[at] == bucket).any(1) if len(table) else np.zeros(len(rows), bool)
-                rows, numbers, source, bucket = rows[hit], numbers[hit], source[hit], bucket[hit]
-                keys = [keys[i] for i in np.flatnonzero(hit)]
-            ids = batch.column(1).to_numpy(zero_copy_only=False)[rows]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, "int32"), pa.array(bucket.reshape(-1), "int64"))
-            yield pa.RecordBatch.from_arrays([pa.array(source), pa.array(ids, "int64"), pa.array(numbers), pa.array(keys, "string"), lists], ["source", "id", "line_no", "masked", "buckets"])
 
-    return run
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a table sent to all tasks if it has up to ``rows`` rows (of two numbers), joined by shuffling beyond."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def repeated_lines(
@@ -187,7 +188,6 @@ def repeated_lines(
     ``min_documents`` of the source's distinct ids.  Rows with a null id or source and null or empty texts
     have no cases; a row delivered again counts once; a line twice in a document counts once but is found twice.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(source).alias("package"), F.col(row_id).cast("long").alias("id"), F.col(content).alias("content")).where("package is not null and id is not null")
     sizes = rows.groupBy("package").agg(F.count_distinct("id").alias("n"))
 
@@ -198,25 +198,21 @@ def repeated_lines(
         return pd.Series(np.array([xxhash.xxh64_intdigest(n) for n in names], "uint64").view("int64"))
 
     least = sizes.select(source_hash("package").alias("source"), "package", F.greatest(F.lit(min_documents), F.ceil(F.col("n") * F.lit(min_share) - 1e-9)).alias("least"))
-    buckets = rows.mapInArrow(_emit_buckets, "source long, bucket long, id long")
+    # every text is read once; what follows moves numbers only, and texts of frequent lines once each
+    every = written(rows.mapInArrow(_lines, "source long, id long, line_no int, key long, buckets array<long>, masked string"))
+    buckets = every.select("source", "id", F.explode("buckets").alias("bucket"))
     counted = buckets.groupBy("source", "bucket").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= min_documents)
-    hot = written(counted.join(least, "source").where("n >= least").select("source", "bucket"))
-    n_hot = hot.count()
-    if n_hot <= MAX_SHIPPED:
-        table = np.sort(np.array([r.bucket for r in hot.select("bucket").toLocalIterator()], "int64"))
-        shipped = spark.sparkContext.broadcast(table)
-        lines = rows.mapInArrow(_emit_lines(shipped), "source long, id long, line_no long, masked string, buckets array<long>")
-    else:
-        every = rows.mapInArrow(_emit_lines(None), "source long, id long, line_no long, masked string, buckets array<long>")
-        exploded = every.withColumn("bucket", F.explode("buckets"))
-        lines = exploded.join(hot, ["source", "bucket"], "left_semi").groupBy("source", "id", "line_no", "masked").agg(F.array_distinct(F.collect_list("bucket")).alias("buckets"))
-    lines = written(lines.withColumn("key", F.xxhash64("masked")).distinct())
-
-    keys = lines.groupBy("source", "key", "masked", "buckets").agg(F.count_distinct("id").alias("n")).join(least, "source")
-    keys = written(keys)
+    hot = _few(written(counted.join(least, "source").where("n >= least").select("source", "bucket")), MAX_SHIPPED)
+    placed = every.select("source", "key", "id", F.explode("buckets").alias("bucket")).join(hot, ["source", "bucket"], "left_semi")
+    members = written(placed.select("source", "bucket", "key").distinct())
+    wanted = members.select("source", "key").distinct()
+    of_hot = every.join(_few(written(wanted), MAX_SHIPPED), ["source", "key"], "left_semi")
+    ids = written(of_hot.select("source", "key", "id").distinct())
+    texts = of_hot.where("masked is not null").groupBy("source", "key").agg(F.min("masked").alias("masked"))
+    keys = written(ids.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).join(texts, ["source", "key"]).join(least, "source"))
     alone = keys.where("n >= least").select("source", "key")
-    placed = keys.select("source", "key", "masked", "n", "least", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    heads = placed.groupBy("source", "bucket").agg(F.max_by("masked", F.struct("n", "key")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    each = members.join(keys, ["source", "key"])
+    heads = each.groupBy("source", "bucket").agg(F.max_by("masked", F.struct("n", "key")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
 
     @F.pandas_udf("boolean")
     def near(a, b):
@@ -224,21 +220,15 @@ def repeated_lines(
 
         return pd.Series([similarity(x, y) >= SIMILARITY for x, y in zip(a, b)], dtype=bool)
 
-    members = placed.join(heads, ["source", "bucket"]).where(near("masked", "head"))
+    clusters = written(each.join(heads, ["source", "bucket"]).where(near("masked", "head")).select("source", "bucket", "key", "n", "least"))
     # clusters whose members may reach the share together though not each alone
-    unsure = members.groupBy("source", "bucket").agg(F.sum("n").alias("most"), F.min("n").alias("fewest"), F.max("least").alias("least")).where("most >= least and fewest < least")
-    unsure_members = members.join(unsure.select("source", "bucket"), ["source", "bucket"]).select("source", "bucket", "key", "least")
-    together = (
-        lines.select("source", "key", "id").join(unsure_members, ["source", "key"]).groupBy("source", "bucket", "least").agg(F.count_distinct("id").alias("n")).where("n >= least")
-    )
-    joined = unsure_members.join(together.select("source", "bucket"), ["source", "bucket"]).select("source", "key")
-    cases = alone.union(joined).distinct()
-    return (
-        lines.join(cases, ["source", "key"], "left_semi")
-        .join(least.select("source", "package"), "source")
-        .select(F.col("id").alias("chunk_id"), "line_no", "package", "masked")
-        .distinct()
-    )
+    unsure = clusters.groupBy("source", "bucket").agg(F.sum("n").alias("most"), F.min("n").alias("fewest"), F.max("least").alias("least")).where("most >= least and fewest < least")
+    together = clusters.join(unsure.select("source", "bucket"), ["source", "bucket"], "left_semi")
+    reach = ids.join(_few(written(together.select("source", "key", "bucket", "least")), MAX_SHIPPED), ["source", "key"]).groupBy("source", "bucket", "least").agg(F.count_distinct("id").alias("n"))
+    joined = together.join(reach.where("n >= least").select("source", "bucket"), ["source", "bucket"], "left_semi").select("source", "key")
+    cases = keys.join(alone.union(joined).distinct(), ["source", "key"], "left_semi").select("source", "key", "package", "masked")
+    found = every.select("source", "key", "id", "line_no").join(_few(written(cases), MAX_CASES), ["source", "key"])
+    return found.select(F.col("id").alias("chunk_id"), F.col("line_no").cast("long").alias("line_no"), "package", "masked").distinct()
 
 
 def without_lines(df: DataFrame, lines: DataFrame, *, row_id: str, content: str, into: str = "cleaned") -> DataFrame:

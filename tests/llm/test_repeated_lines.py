@@ -74,6 +74,7 @@ def brute(rows, min_share=0.03, min_documents=5):
 def test_against_brute_force(spark, monkeypatch, shipped):
     if not shipped:
         monkeypatch.setattr(M, "MAX_SHIPPED", -1)
+        monkeypatch.setattr(M, "MAX_CASES", -1)
     rng = random.Random(4)
     long = [f"word{i}" for i in range(40)]
     rows = []
