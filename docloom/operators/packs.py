@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +44,21 @@ def pack_hashes(chunks: DataFrame, text: str = "content", order: str = "id") ->
     return sorted_.mapInArrow(run, "package string, version string, pack_hash string")
 
 
+def pack_tree_hashes(chunks: DataFrame, text: str = "content", order: str = "id", width: int = 4096, levels: int = 3) -> DataFrame:
+    """A pack's hash that no single task has to compute: ``package, version, tree_hash``.
+
+    Every text is hashed where it lies; the hashes of ``width`` ids in a row are joined in order and hashed, then those
+    of ``width`` such ranges, ``levels`` times in all, the last over the whole pack.  Null texts are empty; rows repeated with one
+    order and text count once.
+    """
+    rows = chunks.select(*KEY, F.col(order).alias("o"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("h")).distinct()
+    for level in range(levels):
+        up = F.floor(F.col("o") / width) if level < levels - 1 else F.lit(0)
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "\n")
+        rows = rows.groupBy(*KEY, up.alias("up")).agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("up", "o")
+    return rows.select(*KEY, F.concat(F.lit("sha256:"), "h").alias("tree_hash"))
+
+
 def pack_counts(chunks: DataFrame) -> DataFrame:
     """Chunks, pages and estimated tokens of each pack, rows delivered again counted once."""
     once = chunks.select(*KEY, "id", "page_id", F.expr("length(content) div 4").alias("tokens")).distinct()
@@ -94,6 +110,13 @@ def latest(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return best.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in rows.columns])
 
 
+def stored_packs(spark: SparkSession, store: str) -> list[tuple[str, str]]:
+    """Packs of a store, by the names of its folders; no file is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{store.rstrip('/')}/package=*/version=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return [tuple(unquote(part.getName().split("=", 1)[1]) for part in (f.getPath().getParent(), f.getPath())) for f in found]
+
+
 def import_packs(store: str, chunks: DataFrame) -> int:
     """Append the packs of ``chunks`` that ``store`` (a Parquet folder by package and version) does not have; how many.
 
@@ -101,10 +124,7 @@ def import_packs(store: str, chunks: DataFrame) -> int:
     """
     spark = chunks.sparkSession
     wanted = chunks.select(*KEY).distinct()
-    try:
-        there = spark.read.parquet(store).select(*[F.col(k).cast("string") for k in KEY]).distinct()
-    except Exception:  # noqa: BLE001 - nothing imported yet
-        there = spark.createDataFrame([], "package string, version string")
+    there = spark.createDataFrame(stored_packs(spark, store), "package string, version string")  # a row a pack
     new = wanted.join(there, KEY, "left_anti").cache()
     n = new.count()
     if n:

@@ -347,6 +347,10 @@ def pack_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.pack_hashes(table(spark, sf_dir, "chunks"))
 
 
+def pack_tree_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.pack_tree_hashes(table(spark, sf_dir, "chunks"))
+
+
 def pack_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.pack_counts(table(spark, sf_dir, "chunks"))
 
@@ -813,6 +817,10 @@ ORACLES = {
         SELECT g.ref_id, m.chunk_id FROM g LEFT JOIN m ON m.ref_id = g.ref_id""",
     "pack_hash_chain": """SELECT package, version, 'sha256:' || sha256(string_agg(content, chr(10) ORDER BY id, content)) AS pack_hash
         FROM (SELECT DISTINCT package, version, id, coalesce(content, '') AS content FROM chunks) GROUP BY 1, 2""",
+    "pack_tree_hashes": """WITH r AS (SELECT DISTINCT package, version, id AS o, sha256(coalesce(content, '')) AS h FROM chunks),
+        a AS (SELECT package, version, o // 4096 AS o, sha256(string_agg(h, chr(10) ORDER BY r.o, h)) AS h FROM r GROUP BY 1, 2, 3),
+        b AS (SELECT package, version, o // 4096 AS o, sha256(string_agg(h, chr(10) ORDER BY a.o)) AS h FROM a GROUP BY 1, 2, 3)
+        SELECT package, version, 'sha256:' || sha256(string_agg(h, chr(10) ORDER BY b.o)) AS tree_hash FROM b GROUP BY 1, 2""",
     "pack_counts": """SELECT package, version, count(DISTINCT id) AS n_chunks, count(DISTINCT page_id) AS n_pages, sum(tokens)::BIGINT AS n_tokens
         FROM (SELECT DISTINCT package, version, id, page_id, length(content) // 4 AS tokens FROM chunks) GROUP BY 1, 2""",
     "chunk_size_stats": f"""WITH {_CH}, s AS (SELECT package, length(content) // 4 AS v FROM ch), a AS (SELECT package, list_sort(list(v)) AS l, count(*) AS n FROM s GROUP BY 1)
@@ -900,6 +908,7 @@ QUERIES = {
         reference_cascade,
         reference_chunks,
         pack_hash_chain,
+        pack_tree_hashes,
         pack_counts,
         chunk_size_stats,
         oversized_chunks,
