@@ -54,10 +54,17 @@ def convergence(runs: DataFrame) -> DataFrame:
     return filled.select("arm", "turn", (F.sum("n").over(upto) / F.col("all")).alias("answered"), (F.sum("p").over(upto) / F.col("all")).alias("right"))
 
 
-def compared(before: DataFrame, after: DataFrame, name: str, value: str) -> DataFrame:
-    """Two measurements side by side: ``name, before, after, change_percent``; one missing counts as 0, a change from 0 as null."""
+def compared(before: DataFrame, after: DataFrame, name: str, value: str, warn_over: dict[str, float] | None = None, warn_under: dict[str, float] | None = None) -> DataFrame:
+    """Two measurements side by side: ``name, before, after, change_percent, warning``.
+
+    One that is missing counts as 0, a change from 0 as null.  A warning says that a change is over its name's percentage
+    in ``warn_over``, or the new value under its floor in ``warn_under``.
+    """
     both = before.select(name, F.col(value).alias("before")).join(after.select(name, F.col(value).alias("after")), name, "full_outer").fillna(0, ["before", "after"])
-    return both.withColumn("change_percent", F.try_divide((F.col("after") - F.col("before")) * 100, F.col("before")))
+    changed = both.withColumn("change_percent", F.try_divide((F.col("after") - F.col("before")) * 100, F.col("before")))
+    limit = lambda m: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col(name)) if m else F.lit(None).cast("double")
+    warning = F.when(F.col("change_percent") > limit(warn_over), "grown").when(F.col("after") < limit(warn_under), "too small")
+    return changed.withColumn("warning", warning)
 
 
 def response_cost(results: DataFrame, by: str, fields: list[str]) -> DataFrame:

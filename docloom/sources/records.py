@@ -35,6 +35,24 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return q.withColumn("gold", F.explode("gold")).select("id", "difficulty", "query", "keyword_query", "gold.*")
 
 
+def read_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks with their graders: ``id, prompt, must_parse, must_match, must_not_match, teaches``.
+
+    A task without id, prompt or graders, repeated, or with a pattern that is no pattern is an error.
+    """
+    graders = "struct<must_parse:boolean,must_match:array<string>,must_not_match:array<string>>"
+    sets = spark.read.schema(f"tasks array<struct<id:string,prompt:string,graders:{graders},teaches:array<string>>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    t = sets.select(F.explode("tasks").alias("t")).select("t.id", "t.prompt", "t.graders.*", "t.teaches", F.col("t.graders").isNull().alias("bare"))
+    none = F.array().cast("array<string>")
+    patterns = F.concat(F.coalesce("must_match", none), F.coalesce("must_not_match", none))
+    odd = F.exists(patterns, lambda p: p.isNull() | (p == ""))
+    each = t.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("bare") | odd | F.coalesce(F.trim("prompt") == "", F.lit(True))).alias("bad"))
+    found = [r["id"] for r in each.where("n > 1 or bad or id is null").limit(5).collect()]
+    if found:
+        raise ValueError(f"tasks repeated or without prompt, graders or patterns: {found}")
+    return t.drop("bare")
+
+
 def _split(ddl: str) -> list[str]:
     """Fields of a DDL string, commas inside brackets kept."""
     out, depth, part = [], 0, ""

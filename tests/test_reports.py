@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import reports as R
-from docloom.sources.records import read_json_lines, read_questions, read_summary_cache
+from docloom.sources.records import read_json_lines, read_questions, read_summary_cache, read_tasks
 
 
 def test_personas(spark):
@@ -51,3 +51,25 @@ def test_record_files(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"schema_version": 2, "questions": [q, q]}))
     with pytest.raises(ValueError):
         read_questions(spark, str(tmp_path / "d.json"))
+
+
+def test_warnings_of_changes(spark):
+    a = spark.createDataFrame([("s", 100.0), ("t", 100.0), ("u", 50.0)], "tool string, n double")
+    b = spark.createDataFrame([("s", 121.0), ("t", 120.0), ("u", 39.0), ("new", 1.0)], "tool string, n double")
+    got = {r.tool: r.warning for r in R.compared(a, b, "tool", "n", {"s": 20.0, "t": 20.0}, {"u": 40.0}).collect()}
+    assert got == {"s": "grown", "t": None, "u": "too small", "new": None}
+
+
+def test_task_sets(spark, tmp_path):
+    good = {"id": "a", "prompt": "do", "graders": {"must_parse": True, "must_match": ["x"], "must_not_match": []}, "teaches": ["t"]}
+
+    def read(*tasks):
+        (tmp_path / "t.json").write_text(json.dumps({"tasks": list(tasks)}))
+        return read_tasks(spark, str(tmp_path / "t.json"))
+
+    assert [(r.id, r.must_parse, r.must_match, r.teaches) for r in read(good).collect()] == [("a", True, ["x"], ["t"])]
+    for bad in (good | {"prompt": " "}, good | {"id": None}, {k: v for k, v in good.items() if k != "graders"}, good | {"graders": {"must_match": [""]}}):
+        with pytest.raises(ValueError):
+            read(bad)
+    with pytest.raises(ValueError):
+        read(good, good)
