@@ -37,3 +37,9 @@ def test_partial_aggregation_comes_before_the_shuffle(spark, queries):
 def test_every_sql_has_its_query(queries):
     sql = entry.oracle_sql()
     assert set(sql) <= set(queries) and len(sql) >= 38
+
+
+def test_scores_are_summed_where_the_postings_lie(spark, queries):
+    text = plan(queries["search_any"](spark, SF))
+    assert text.count("Exchange hashpartitioning") == 1 and "hashpartitioning(query_id" in text and "WindowGroupLimit" in text
+    assert "SelectedBucketsCount" in text
