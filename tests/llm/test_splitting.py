@@ -89,3 +89,9 @@ def test_overlap_must_leave_room(spark):
     with pytest.raises(ValueError):
         split_pieces(F.lit("x"), 10, 9)
     assert boundary_pattern(10)
+
+
+def test_texts_are_cut_once(spark):
+    df = spark.createDataFrame([(1, "x", "h")], "id long, content string, heading_path string")
+    plan = split_oversized(df, row_id="id", content="content", src_table="t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == plan.split("Generate")[1].count("regexp_extract_all") > 0
