@@ -3,9 +3,9 @@
 Every line is masked (case, spacing, marks, numbers, dates, addresses, the author of a byline) and read as a
 set of five-word shingles.  Min-hashes of the set place it in buckets, one for each of ``BANDS``; equal masked
 lines always meet, lines of Jaccard similarity 0.8 meet in some bucket with probability 0.992.  Buckets are
-counted over all lines; only those that hold enough documents of their source go on.  In each, the masked
-line found in most documents stands for the cluster, the others belong to it from similarity 0.8 up, and
-the cluster's documents are counted exactly.
+counted over all lines; only those that hold enough documents of their source, or nearly, go on.  In each, the masked
+line found in most documents is the head of a cluster, to which the others belong from similarity 0.8 up; a
+cluster gathers its members from all buckets of its head, and its documents are counted exactly.
 
 Every text is parsed once, into lines as numbers; counting is by (source, bucket) and (source, line) with the
 documents spread first, so that no source and no line, however frequent, meets in one task.
@@ -27,6 +27,8 @@ from ..session import written
 
 SHINGLE, BANDS, SIMILARITY = 5, 3, 0.8
 MIN_SHARE, MIN_DOCUMENTS = 0.03, 5
+#: of the documents a cluster must stand in, so many must meet in a bucket for it to be looked at: a cluster's near-duplicates are spread over buckets
+BUCKET_SHARE = 0.6
 #: tables of hot buckets and keys, a few numbers a row, are sent to all tasks up to this number of rows and joined beyond
 MAX_SHIPPED = 400_000
 #: the same for cases, which carry a line's text
@@ -201,8 +203,8 @@ def repeated_lines(
     # every text is read once; what follows moves numbers only, and texts of frequent lines once each
     every = written(rows.mapInArrow(_lines, "source long, id long, line_no int, key long, buckets array<long>, masked string"))
     buckets = every.select("source", "id", F.explode("buckets").alias("bucket"))
-    counted = buckets.groupBy("source", "bucket").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= min_documents)
-    hot = _few(written(counted.join(least, "source").where("n >= least").select("source", "bucket")), MAX_SHIPPED)
+    counted = buckets.groupBy("source", "bucket").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= BUCKET_SHARE * min_documents)
+    hot = _few(written(counted.join(least, "source").where(F.col("n") >= BUCKET_SHARE * F.col("least")).select("source", "bucket")), MAX_SHIPPED)
     placed = every.select("source", "key", "id", F.explode("buckets").alias("bucket")).join(hot, ["source", "bucket"], "left_semi")
     members = written(placed.select("source", "bucket", "key").distinct())
     wanted = members.select("source", "key").distinct()
@@ -212,7 +214,7 @@ def repeated_lines(
     keys = written(ids.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n")).join(texts, ["source", "key"]).join(least, "source"))
     alone = keys.where("n >= least").select("source", "key")
     each = members.join(keys, ["source", "key"])
-    heads = each.groupBy("source", "bucket").agg(F.max_by("masked", F.struct("n", "key")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    heads = each.groupBy("source", "bucket").agg(F.max_by(F.struct("masked", "key"), F.struct("n", "key")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
 
     @F.pandas_udf("boolean")
     def near(a, b):
@@ -220,12 +222,14 @@ def repeated_lines(
 
         return pd.Series([similarity(x, y) >= SIMILARITY for x, y in zip(a, b)], dtype=bool)
 
-    clusters = written(each.join(heads, ["source", "bucket"]).where(near("masked", "head")).select("source", "bucket", "key", "n", "least"))
+    # a head gathers what is near it from all of its buckets
+    pairs = each.join(heads, ["source", "bucket"]).select("source", "head", "key", "masked", "n", "least").distinct()
+    clusters = written(pairs.where(near("masked", "head.masked")).select("source", F.col("head.key").alias("head"), "key", "n", "least"))
     # clusters whose members may reach the share together though not each alone
-    unsure = clusters.groupBy("source", "bucket").agg(F.sum("n").alias("most"), F.min("n").alias("fewest"), F.max("least").alias("least")).where("most >= least and fewest < least")
-    together = clusters.join(unsure.select("source", "bucket"), ["source", "bucket"], "left_semi")
-    reach = ids.join(_few(written(together.select("source", "key", "bucket", "least")), MAX_SHIPPED), ["source", "key"]).groupBy("source", "bucket", "least").agg(F.count_distinct("id").alias("n"))
-    joined = together.join(reach.where("n >= least").select("source", "bucket"), ["source", "bucket"], "left_semi").select("source", "key")
+    unsure = clusters.groupBy("source", "head").agg(F.sum("n").alias("most"), F.min("n").alias("fewest"), F.max("least").alias("least")).where("most >= least and fewest < least")
+    together = clusters.join(unsure.select("source", "head"), ["source", "head"], "left_semi")
+    reach = ids.join(_few(written(together.select("source", "key", "head", "least")), MAX_SHIPPED), ["source", "key"]).groupBy("source", "head", "least").agg(F.count_distinct("id").alias("n"))
+    joined = together.join(reach.where("n >= least").select("source", "head"), ["source", "head"], "left_semi").select("source", "key")
     cases = keys.join(alone.union(joined).distinct(), ["source", "key"], "left_semi").select("source", "key", "package", "masked")
     found = every.select("source", "key", "id", "line_no").join(_few(written(cases), MAX_CASES), ["source", "key"])
     return found.select(F.col("id").alias("chunk_id"), F.col("line_no").cast("long").alias("line_no"), "package", "masked").distinct()

@@ -94,6 +94,21 @@ def test_against_brute_force(spark, monkeypatch, shipped):
     assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 20
 
 
+def test_a_cluster_is_counted_over_its_buckets(spark):
+    """Three wordings of a notice, none frequent enough, which no single bucket need hold all of."""
+    rng = random.Random(7)
+    found = 0
+    for _ in range(3):
+        base = ["".join(rng.choice("klmnop") for _ in range(8)) for _ in range(30)]
+        texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(["new", *base[1:]])]
+        rows = [("p", i, texts[i % 3] if i < 9 else " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(9))) for i in range(250)]
+        df = spark.createDataFrame(rows, "package string, id long, content string")
+        got = {r.chunk_id for r in repeated_lines(df, row_id="id", source="package", content="content").collect()}
+        assert got in (set(), set(range(9)))
+        found += len(got) == 9
+    assert found >= 2  # each trial: near-duplicates of similarity 0.9 meet their head in one of three buckets or more
+
+
 def test_removal(spark):
     df = spark.createDataFrame([(1, "a\nb\n\nc", 1), (2, None, 1), (3, "b", 1), (4, "", 1)], "id long, content string, line_no int")
     lines = spark.createDataFrame([(1, 2), (3, 1)], "chunk_id long, line_no long")
