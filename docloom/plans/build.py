@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.chunks import chunk_markdown
 from ..functions.text import content_hash, heuristic_summary, normalize_text
 from ..operators.ranks import numbered_in_order
+from ..session import written
 
 
 def build_chunks(pages: DataFrame, max_tokens: int = 800, min_tokens: int = 20, latest: tuple[str, ...] = ()) -> DataFrame:
@@ -22,7 +23,7 @@ def build_chunks(pages: DataFrame, max_tokens: int = 800, min_tokens: int = 20,
     held = pages.where("package is not null").where(F.col("text").rlike(r"\S"))
     once = held.groupBy("package", "version", "url").agg(F.max(F.struct(*latest, "text", "label")).alias("p"))
     cut = once.select("package", "version", "url", F.posexplode_outer(chunk_markdown(F.col("p.text"), F.col("p.label"), max_tokens, min_tokens)).alias("seq", "c")).where("c is not null")
-    clean = cut.select("package", "version", "url", "seq", "c.heading_path", normalize_text(F.col("c.content")).alias("content"))
+    clean = written(cut.select("package", "version", "url", "seq", "c.heading_path", normalize_text(F.col("c.content")).alias("content")))
     ids = numbered_in_order(clean, ["package", "version"], ["url"], "seq", "id")
     return ids.select(
         "package",
