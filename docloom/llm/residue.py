@@ -187,9 +187,12 @@ def _strict(sentence: str) -> str:
     return next((k for k, rule in _KINDS.items() if rule.fullmatch(sentence)), "")
 
 
-@lru_cache(maxsize=50_000)
 def message(masked: str) -> str:
     """A strict message's kind, 'filler', 'weak' or 'sounds' for what must recur to be one, '' for ordinary text."""
+    return _short_message(masked) if len(masked) <= 200 else _message(masked)  # long texts are not kept in memory
+
+
+def _message(masked: str) -> str:
     if is_filler(masked):
         return "filler"
     parts = [p for p in (s.strip(_EDGE) for s in _SENTENCE.split(masked)) if p]
@@ -200,6 +203,9 @@ def message(masked: str) -> str:
     return next((k for k in kinds if k != "weak"), "weak")
 
 
+_short_message = lru_cache(maxsize=50_000)(_message)
+
+
 def classify(block: str) -> str:
     """What a block is on any page: 'placeholder', a strict message's kind, 'filler', 'weak', or '' for ordinary text."""
     return "placeholder" if has_placeholder(block) else message(mask(block)).replace("sounds", "")
