@@ -517,6 +517,13 @@ def built_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_chunks(pages, latest=("fetched_at", "crawl_id"))
 
 
+def built_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that have chunk records, and whether the ids of their pack run from 1 without a gap."""
+    built = written(built_chunks(spark, sf_dir).select("package", "source_url", "id"))
+    dense = built.groupBy("package").agg(((F.min("id") == 1) & (F.max("id") == F.count_distinct("id")) & (F.count_distinct("id") == F.count(F.lit(1)))).alias("dense"))
+    return built.select("package", "source_url").distinct().join(dense, "package")
+
+
 def routed_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = routed_pages(table(spark, sf_dir, "fetched_html"), "final_url", "text", "content_type")
     return got.select("fetch_id", T.content_hash(T.normalize_text(F.col("markdown"))).alias("hash"), F.length("markdown").alias("n_chars"))
@@ -851,6 +858,8 @@ ORACLES = {
         d AS (SELECT crawl_id, regexp_replace(regexp_replace(regexp_replace(t, '(?ms)(^```.*?^```[^\n]*$)|\{`([^`\n]*)`\}', '\1\2', 'g'), '(?ms)(^```.*?^```[^\n]*$)|\{"([^"\n]*)"\}', '\1\2', 'g'),
           '(?ms)(^```.*?^```[^\n]*$)|\{''([^''\n]*)''\}', '\1\2', 'g') AS t FROM c)
         SELECT DISTINCT crawl_id, sha256(regexp_replace(regexp_replace(t, '(?ms)(^```.*?^```[^\n]*$)|\{[^{}\n]*\}', '\1', 'g'), '(?m)^(#{1,6} .*?)<sup>.*?</sup>', '\1', 'g')) AS sha FROM d""",
+    "built_pages": rf"""WITH c AS (SELECT package, {_CANON} AS source_url FROM crawled_pages WHERE trim(content, ' ' || chr(10) || chr(9) || chr(13)) <> '')
+        SELECT DISTINCT coalesce(package, 'host:' || coalesce(regexp_extract(source_url, '^https?://([^/]+)', 1), '')) AS package, source_url, true AS dense FROM c""",
     "html_letters": rf"""WITH h AS (SELECT fetch_id, regexp_replace(coalesce(nullif(regexp_extract(text, '(?is)<body\b[^>]*>(.*)</body>', 1), ''), text), '(?s)<!--.*?-->', '', 'g') AS t FROM fetched_html
           WHERE coalesce(content_type, 'text/html') IN ({', '.join(f"'{x}'" for x in U.HTML_TYPES)})),
         d AS (SELECT fetch_id, regexp_replace(t, '(?is){'|'.join(rf'<{x}\b[^>]*>.*?</{x}\s*>' for x in ('nav', 'header', 'footer', 'aside', 'script', 'style', 'noscript'))}', '', 'g') AS t FROM h)
@@ -930,6 +939,7 @@ QUERIES = {
         crawl_levels,
         concatenated_pages,
         built_chunks,
+        built_pages,
         routed_markdown,
         cached_summaries,
         sampled_chunks,
