@@ -158,3 +158,16 @@ def test_id_spaces(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, h string")
     b = spark.createDataFrame([(2, "z"), (1, "x")], "id long, h string")
     assert {(r.id, r.h, r.side) for r in U.id_differences(a, b, ["id", "h"]).collect()} == {(2, "y", "a"), (2, "z", "b")}
+
+
+def test_shared_vectors_are_ranked_like_each_row_its_own(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 4)).round(2)
+    x[5], x[6], x[7] = x[2], x[2] * 2, 0  # equal scores over different vectors, and one that matches nothing
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(12, None)], "vec long, embedding array<double>")
+    rows = spark.createDataFrame([(i, i % 14) for i in range(100)], "id long, vec long")
+    queries = rows.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+    out = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+    own = rows.join(vectors, "vec").select("id", "embedding")
+    want = out(U.cosine_top(own.where("id % 9 = 0").withColumnRenamed("id", "query_id"), own, 20))
+    assert want and out(U.cosine_top_shared(queries, rows, vectors, 20)) == want

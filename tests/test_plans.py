@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from docloom.operators import search
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,10 @@ def test_scores_are_summed_where_the_postings_lie(spark, queries):
     text = plan(queries["search_any"](spark, SF))
     assert text.count("Exchange hashpartitioning") == 1 and "hashpartitioning(query_id" in text and "WindowGroupLimit" in text
     assert "SelectedBucketsCount" in text
+
+
+@pytest.mark.parametrize("name", ["fusion_matrix"])
+def test_no_row_for_each_query_and_matching_chunk(spark, queries, monkeypatch, name):
+    """These rows grow with the square of the table."""
+    monkeypatch.setattr(search, "matches", None)
+    assert queries[name](spark, SF).columns
