@@ -1,9 +1,10 @@
 """Plans that must stay as they are: what is read, what is joined how."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from docloom.operators import search
+from docloom.operators import evaluation, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,8 +47,15 @@ def test_scores_are_summed_where_the_postings_lie(spark, queries):
     assert "SelectedBucketsCount" in text
 
 
-@pytest.mark.parametrize("name", ["fusion_matrix"])
+@pytest.mark.parametrize("name", ["fusion_matrix", "question_ids"])
 def test_no_row_for_each_query_and_matching_chunk(spark, queries, monkeypatch, name):
     """These rows grow with the square of the table."""
     monkeypatch.setattr(search, "matches", None)
     assert queries[name](spark, SF).columns
+
+
+def test_questions_are_numbered_from_what_is_written(spark, queries, monkeypatch):
+    given = []
+    monkeypatch.setattr(evaluation, "question_set", lambda df, order: given.append(df) or df.withColumn("question_id", F.lit("")))
+    queries["question_ids"](spark, SF)
+    assert given and "MapInArrow" not in plan(given[0]) and "Exchange" not in plan(given[0])
