@@ -47,7 +47,7 @@ def test_scores_are_summed_where_the_postings_lie(spark, queries):
     assert "SelectedBucketsCount" in text
 
 
-@pytest.mark.parametrize("name", ["fusion_matrix", "question_ids", "search_any", "search_governed", "rank_fusion", "search_all", "rank_fusion_weighted", "tier_gaps", "gated_fusion", "question_tiers", "retrieval_metrics", "search_budget", "search_in_packages", "metric_slices", "search_excluding"])
+@pytest.mark.parametrize("name", ["fusion_matrix", "question_ids", "search_any", "search_governed", "rank_fusion", "search_all", "rank_fusion_weighted", "tier_gaps", "gated_fusion", "question_tiers", "retrieval_metrics", "search_budget", "search_in_packages", "metric_slices", "search_excluding", "tier_counts"])
 def test_no_row_for_each_query_and_matching_chunk(spark, queries, monkeypatch, name):
     """These rows grow with the square of the table."""
     monkeypatch.setattr(search, "matches", None)
