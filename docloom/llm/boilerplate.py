@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +43,35 @@ def _bucket(word: str) -> int:
     return zlib.crc32(("0" * len(word) if word.isdigit() else word).encode()) % WORDS
 
 
+@lru_cache(maxsize=50_000)
+def _buckets(part: str) -> tuple[int, ...]:
+    return tuple(map(_bucket, _TOKEN.findall(part)))
+
+
+def word_buckets(text: str) -> tuple[int, ...]:
+    """Buckets of the tokens of ``text``; no token holds white space, so that what stands between it is read once."""
+    parts = text.split()
+    if len(text) > 16 * len(parts):  # scripts without spaces, addresses: parts that hardly recur
+        return tuple(map(_bucket, _TOKEN.findall(text)))
+    return tuple(chain.from_iterable(map(_buckets, parts)))
+
+
 @lru_cache(maxsize=50_000)
 def read_line(line: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
     """Word buckets and the tag-path parts that depend on the line alone."""
     bare = line.strip()
-    m = _KIND.match(bare)
+    m = None if bare[0].isalpha() else _KIND.match(bare)
     kind = 0
     if m:
         kind = {1: 1 + min(2, len(m[1] or "") - 1), 2: 4 + "-*+•".find(bare[0]), 3: 8, 4: 9, 5: 10, 6: 11}[m.lastindex]
     elif bare[0] in "*_" and bare[-1] in "*_":
         kind = 12
     indent = len(line) - len(line.lstrip())
-    links = [x[1] for x in _LINK.finditer(bare)]
-    link = 0 if not links else {"#": 1, "/": 2, ".": 3}.get(links[0], 4)
+    first = _LINK.search(bare) if "](" in bare else None
+    link = 0 if not first else {"#": 1, "/": 2, ".": 3}.get(first[1], 4)
     if link == 4 and bare.endswith(")"):
         link = 5
-    words = tuple(map(_bucket, _TOKEN.findall(bare.lower())))
+    words = word_buckets(bare.lower())
     end = _ENDS.get(bare[-1], 8 if bare[-1].isdigit() else 0)
     parts = (kind, min(2, (indent + 1) // 2), min(8, len(bare).bit_length()), end, link, min(7, len(words).bit_length()))
     return words, parts
@@ -65,6 +79,8 @@ def read_line(line: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
 
 #: kinds that are never furniture: headings, tables, code
 NEVER = {1, 2, 3, 10, 13}
+#: how far from either end of a text a block is, by powers of two
+_PLACE = [i.bit_length() - 1 for i in range(1, 64)]
 CODE = ((_bucket("```"),), (13, 0, 0, 0, 0, 0))
 
 
@@ -75,7 +91,12 @@ def blocks(text: str) -> tuple[list[tuple[int, int]], list, list]:
     heads, fence, gap, table = set(), -1, 1, -1
     for i, line in enumerate(lines):
         bare = line.strip()
-        if bare.startswith("```"):
+        if not bare:
+            if fence < 0:
+                gap, table = gap + 1, -1
+            continue
+        first = bare[0]
+        if first == "`" and bare.startswith("```"):
             if fence < 0:
                 fence = i
             else:
@@ -85,30 +106,29 @@ def blocks(text: str) -> tuple[list[tuple[int, int]], list, list]:
             continue
         if fence >= 0:
             continue
-        if not bare:
-            gap, table = gap + 1, -1
-            continue
-        if bare[0] == "|" and bare[-1] == "|":
+        if first == "|" and bare[-1] == "|":
             if table >= 0:
                 spans[-1] = (spans[-1][0], i + 1)
                 continue
             table = i
         else:
             table = -1
-        spans.append((i, i + 1)), read.append(read_line(line.rstrip())), gaps.append(gap)
+        spans.append((i, i + 1))
+        read.append(read_line(line.rstrip()))
+        gaps.append(gap)
         gap = 0
-        word = bare.lstrip("#-*+•>[ ").split("]", 1)[0].lower()
-        if bare[0] == "#":
+        word = bare if first.isalpha() else bare.lstrip("#-*+•>[ ")
+        word = (word.partition("]")[0] if "]" in word else word).lower()
+        if first == "#":
             heads.add(word)
             word = ""
         echo.append(word)
     if fence >= 0:
         spans.append((fence, len(lines))), read.append(CODE), echo.append(""), gaps.append(gap)
     n = len(spans)
-    context = [
-        (min(3, gaps[i]), min(3, gaps[i + 1]) if i + 1 < n else 3, min(6, (i + 1).bit_length() - 1), min(6, (n - i).bit_length() - 1), int(echo[i] in heads))
-        for i in range(n)
-    ]
+    before = [g if g < 3 else 3 for g in gaps]
+    place = _PLACE[:n] + [6] * (n - len(_PLACE))
+    context = list(zip(before, [*before[1:], 3], place, reversed(place), [int(e in heads) for e in echo]))
     return spans, read, context
 
 
@@ -128,7 +148,7 @@ class Labeller:
         """Input vectors of blocks; equal readings are embedded once."""
         seen: dict = {}
         which = np.fromiter((seen.setdefault(r, len(seen)) for r in read), "int64", len(read))
-        flat = np.fromiter((w for r in seen for w in r[0]), "int64")
+        flat = np.fromiter(chain.from_iterable(r[0] for r in seen), "int64")
         sizes = np.fromiter((len(r[0]) for r in seen), "int64", len(seen))
         E = self.w["E"]
         sums = np.zeros((len(seen), E.shape[1]), "float32")

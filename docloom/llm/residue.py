@@ -53,6 +53,9 @@ _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*
 _ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+")
 _DATE = re.compile(r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}\.? [^\W\d_]{3,}\.? \d{4}\b|\b[^\W\d_]{3,}\.? \d{1,2}, \d{4}\b")
 _NUMBER = re.compile(r"\d+")
+#: every date has one
+_YEAR = re.compile(r"\d{4}")
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789<%@[&_", b"abcdefghijklmnopqrstuvwxyz000000000{{{{{{")
 
 #: placeholders of common template languages, authoring reminders and failed values, sought outside code
 PLACEHOLDER = re.compile(
@@ -150,14 +153,26 @@ _LATIN_END = re.compile(r"(?:us|um|is|it|at|ur|unt|ibus|orum|arum|que|ae|am|em|i
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def _folded(text: str) -> str:
+    """ASCII in small letters, digits as 0, the marks of placeholders as a brace; other characters are of no use in it."""
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).decode("latin-1")
+
+
+def _may_hold(block: str) -> bool:
+    """False for most blocks without a match of ``_MARKS``, which is a slower test."""
+    x = _folded(block)
+    return "{" in x or "null" in x or "nan" in x or "replace" in x or "undefined" in x or "todo" in x or "fixme" in x or "tb" in x or "xxx" in x
+
+
 def mask(block: str) -> str:
     s = " ".join(block.split())
     if "://" in s or "www." in s:
         s = _ADDRESS.sub("address", s)
-    t = _NUMBER.sub("0", s)
-    if t != s:
-        t = _NUMBER.sub("0", _DATE.sub("0", s))
-    return t.strip(" *_>#—–-").lower()
+    seen, plain = _folded(s), s.isascii()
+    if "0" in seen or not plain:  # other scripts have digits of their own
+        dated = "0000" in seen if plain else _YEAR.search(s)
+        s = _NUMBER.sub("0", _DATE.sub("0", s) if dated else s)
+    return s.strip(" *_>#—–-").lower()
 
 
 def is_filler(block: str) -> bool:
@@ -177,7 +192,7 @@ def is_filler(block: str) -> bool:
 
 def has_placeholder(block: str) -> bool:
     """Whether a reader of ``block``, code taken out, sees an unfilled placeholder, a reminder or a failed value."""
-    if not _MARKS.search(block):
+    if not _may_hold(block) or not _MARKS.search(block):
         return False
     found = PLACEHOLDER.search(_QUOTED.sub("", block))
     return found is not None and not _CASED.fullmatch(found[0])
@@ -211,6 +226,20 @@ def classify(block: str) -> str:
     return "placeholder" if has_placeholder(block) else message(mask(block)).replace("sounds", "")
 
 
+def _read(block: str) -> tuple[bool, str, int | None]:
+    """Whether ``block`` has a placeholder, its mask, and the hash of this, null if it is not compared."""
+    m = mask(block)
+    bare = "`c`" in block or not _WORDS.search(m) and "0" not in m  # a rule or a mark says nothing
+    return has_placeholder(block), m, None if bare else xxhash.xxh64_intdigest(m) - 2**63
+
+
+_short_read = lru_cache(maxsize=50_000)(_read)
+
+
+def read_block(block: str) -> tuple[bool, str, int | None]:
+    return _short_read(block) if len(block) <= 200 else _read(block)
+
+
 def markdown_of(text: str) -> str:
     """The page's visible text as Markdown lines; a script notice counts where nothing else is shown."""
     notices = [_TAG.sub("", x) for x in _NOSCRIPT.findall(text)]
@@ -218,13 +247,13 @@ def markdown_of(text: str) -> str:
     if not html.unescape(_TAG.sub("", body)).strip():
         return "\n\n".join(html.unescape(n).strip() for n in notices)
     body = _AROUND.sub("\n", _PRE.sub("\n```\x00```\n", body))
-    body = re.sub(r"\s+", " ", _INLINE.sub("`c`", body))
+    body = " ".join(_INLINE.sub("`c`", body).split())
     body = _ANCHOR.sub(lambda m: f"[{_TAG.sub('', m[2])}]({m[1] or ''})" if m[2].strip() else "", body)
     body = _ITEM.sub("\n- ", _ROW.sub("\n\x02", _CELLS.sub(" \x01 ", body)))
     body = _HEADING.sub(lambda m: "\n" + "#" * int(m[1]) + " ", body)
     out = []
     for part in _BLOCK.sub("\n", body).replace("```\x00```", "\n```\x00```\n").split("\n"):
-        bare = " ".join(html.unescape(_TAG.sub("", part)).split())
+        bare = " ".join(html.unescape(_TAG.sub("", part) if "<" in part else part).split())
         if bare == "```\x00```":
             out.append("```\n```")
         elif bare.startswith("\x02"):
@@ -234,12 +263,15 @@ def markdown_of(text: str) -> str:
     return "\n\n".join(out)
 
 
+_FENCES = ("`", "~")
+
+
 def markdown_lines(text: str) -> list[tuple[int, bool, str]]:
     """(line number, is heading, text with code as `c` and links as their labels) of the non-blank lines; a fence is one line of code."""
     out, fence = [], ""
     for n, line in enumerate(text.split("\n"), 1):
         bare = line.strip()
-        if bare.startswith(("```", "~~~")) and (not fence or bare.startswith(fence)):
+        if bare[:1] in _FENCES and bare.startswith(("```", "~~~")) and (not fence or bare.startswith(fence)):
             if not fence:
                 out.append((n, False, "`c`"))
             fence = "" if fence else bare[:3]
@@ -248,8 +280,9 @@ def markdown_lines(text: str) -> list[tuple[int, bool, str]]:
             seen = _TICKS.sub("`c`", bare.lstrip("#") if head else bare) if "`" in bare else bare.lstrip("#") if head else bare
             if "](" in seen or "][" in seen:
                 seen = _LINK.sub(lambda m: m[1] or m[2] or "", seen)
-            if seen.strip():
-                out.append((n, head, seen.strip()))
+            seen = seen.strip()
+            if seen:
+                out.append((n, head, seen))
     return out
 
 
@@ -269,19 +302,18 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_own = sum("`c`" in b and b != "`c`" and not head for _, head, b in lines)  # what its code says is not compared
             # a message that stands in the article's place is none of the furniture
             if drop and not n_own:
-                lines = [x for x in found if x[0] not in drop or message(mask(x[2])) not in LOOSE]
+                lines = [x for x in found if x[0] not in drop or message(read_block(x[2])[1]) not in LOOSE]
             marked, said = False, {}
             for _, head, b in lines:
-                if has_placeholder(b):
+                holds, m, h = read_block(b)
+                if holds:
                     marked = True
                     continue
-                m = mask(b)
-                if "`c`" in b or not _WORDS.search(m) and "0" not in m:  # a rule or a mark says nothing
+                if h is None:
                     continue
                 k = "" if n_own else message(m)  # no page of its own text is one of messages alone
                 if not k and head:
                     continue
-                h = xxhash.xxh64_intdigest(m) - 2**63
                 said[h] = min(k, said.get(h, k))
             rows["row_id"].append(ids[i])
             rows["text_hash"].append(xxhash.xxh64_intdigest(texts[i]) - 2**63)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.llm import boilerplate
 from docloom.llm.boilerplate import Labeller, blocks, furniture, furniture_lines, main_body
 
 PAGE = "\n".join(
@@ -75,3 +76,33 @@ def test_held_out_accuracy(spark, sf):
         want = {n for n, y in enumerate(labels(t), 1) if y}
         wrong, total = wrong + len(want ^ set(got)), total + len(want)
     assert wrong < 0.005 * total
+
+
+def test_words_that_recur_are_cut_once(monkeypatch):
+    cut = []
+    boilerplate._buckets.cache_clear()
+    boilerplate.read_line.cache_clear()
+    found = boilerplate._TOKEN.findall
+
+    class Token:
+        def findall(self, text):
+            cut.append(text)
+            return found(text)
+
+    monkeypatch.setattr(boilerplate, "_TOKEN", Token())
+    for line in ("the reader waits.", "the writer waits.", "the reader, too"):
+        boilerplate.read_line(line)
+    assert sorted(cut) == ["reader", "reader,", "the", "too", "waits.", "writer"]
+
+
+def test_words_are_the_tokens_of_the_whole_line():
+    for line in ("a_b c-d e1f2 x", "- [Größe](../a/b.html) über\u00a0alles\u2003x", "索引を作る。 次の行 abc", "https://a.example/x?y=1#z", "the 12 34.5 (x), don't\x1fstop", "한국어 문장 은 띄어 쓴다", ""):
+        assert boilerplate.word_buckets(line) == tuple(map(boilerplate._bucket, boilerplate._TOKEN.findall(line))), line
+
+
+def test_context_of_long_texts():
+    context = blocks("\n".join(f"line {i}" for i in range(200)))[2]
+    assert [c[2] for c in context] == [min(6, (i + 1).bit_length() - 1) for i in range(200)]
+    assert [c[3] for c in context] == [min(6, (200 - i).bit_length() - 1) for i in range(200)]
+    assert [c[:2] for c in context] == [(1 if i == 0 else 0, 3 if i == 199 else 0) for i in range(200)]
+    assert blocks("")[2] == blocks("\n\n")[2] == []

@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pytest
 
+from docloom.llm import residue
 from docloom.llm.residue import classify, is_filler, markdown_lines, markdown_of, mask, message, residue_pages, without_residue
 
 HTML = "<!DOCTYPE html><html><head><title>{{ t }}</title><script>var a='${x}';</script></head><body><nav><a href='/'>404</a></nav>{}<footer>RSS</footer></body></html>"
@@ -138,3 +140,45 @@ def test_furniture_and_content_types(spark):
     ]
     df = spark.createDataFrame([(i, f"https://s{i}.example/{i}", t, k) for i, t, k in rows], "id long, url string, body string, kind string")
     assert sorted(r.row_id for r in residue_pages([("t", df, "id", "url", "body", "kind")]).collect()) == [2, 4]
+
+
+def test_a_line_that_recurs_is_masked_once(monkeypatch):
+    masked = []
+    residue._short_read.cache_clear()
+    monkeypatch.setattr(residue, "mask", lambda block: masked.append(block) or mask(block))
+    texts = [f"# Part {i}\n\nA line that every one of these pages has in its text.\n\nPage {i} alone says this.\n" for i in range(20)]
+    ids = list(range(20))
+    batch = pa.RecordBatch.from_pydict({"i": ids, "s": [f"s{i}.example" for i in ids], "n": [f"p{i}" for i in ids], "t": texts, "k": pa.nulls(20, "string")})
+    rows = pa.Table.from_batches(residue._pages(iter([batch]))).to_pylist()
+    residue._short_read.cache_clear()
+    assert [r["row_id"] for r in rows] == ids and sum(len(r["blocks"]) for r in rows) >= 40
+    assert masked.count("A line that every one of these pages has in its text.") == 1 and len(masked) == len(set(masked))
+
+
+def test_ordinary_lines_are_not_searched_for_placeholders(monkeypatch):
+    class Never:
+        def search(self, block):
+            raise AssertionError(block)
+
+    monkeypatch.setattr(residue, "_MARKS", Never())
+    assert not residue.has_placeholder("Der Zähler steht auf 12, the reader waits until it is 14 – お待ちください。")
+    for mark in ("{", "<", "%", "@", "[", "&lt;", "__", "TODO", "FIXME", "TBD", "TBC", "XXX", "replace", "Replace", "REPLACE", "undefined", "Undefined", "UNDEFINED", "nan", "naN", "Nan", "NaN", "NAN", "null", "Null", "NULL"):
+        with pytest.raises(AssertionError):
+            residue.has_placeholder(f"Größe ist {mark} hier")
+
+
+@pytest.mark.parametrize(
+    "text,masked",
+    [
+        ("Updated 2024-05-06  at 12:30", "updated 0 at 0:0"),
+        ("Am 3. März 2024 geändert", "am 0 geändert"),
+        ("May 5, 2024: 3 items", "0: 0 items"),
+        ("Seite ١٢٣ von 20", "seite 0 von 0"),
+        ("See https://a.example/1/2024-05-06 now", "see address now"),
+        ("- **No digits here**", "no digits here"),
+        ("Größe ohne Ziffern", "größe ohne ziffern"),
+        ("Build 12345 of 99", "build 0 of 0"),
+    ],
+)
+def test_masks(text, masked):
+    assert mask(text) == masked
