@@ -120,6 +120,18 @@ def test_rank_fusion(spark):
     assert (2, 5, 1) in gate and (1, 30, 1) in gate
 
 
+def test_weightings_at_once_rank_like_each_alone(spark):
+    rng = random.Random(4)
+    one = lambda: spark.createDataFrame([(q, i, r + 1) for q in range(4) for r, i in enumerate(rng.sample(range(150), 110))], "query_id long, id long, rank int")
+    a, b = one(), one().where("query_id < 3")
+    got = U.fused_ranks({"a": a, "b": b}, {"even": (1, 1.0), "heavy": (3, 1.0)}).collect()
+    assert len(got) == len({(r.query_id, r.id) for r in got})
+    for name, w in (("even", 1.0), ("heavy", 3.0)):
+        assert {(r.query_id, r.id, r[name]) for r in got} == {(r.query_id, r.id, r["rank"]) for r in U.rank_fusion([(a, w), (b, 1.0)]).collect()}
+    for name, df in (("a", a), ("b", b)):
+        assert {(r.query_id, r.id, r[name]) for r in got if r[name]} == {tuple(r) for r in df.where("rank <= 100").collect()}
+
+
 def test_metrics_by_class_equal_metrics_by_pairs(spark):
     import random
 

@@ -54,6 +54,12 @@ def test_no_row_for_each_query_and_matching_chunk(spark, queries, monkeypatch, n
     assert queries[name](spark, SF).columns
 
 
+def test_ways_to_rank_share_one_plan(spark, queries):
+    """A plan for each way filled the driver's memory with their stages, and the disk with the same lists shuffled again."""
+    text = plan(queries["fusion_matrix"](spark, SF))
+    assert text.count("Exchange hashpartitioning") < 10 and len(text) < 50_000
+
+
 def test_questions_are_numbered_from_what_is_written(spark, queries, monkeypatch):
     given = []
     monkeypatch.setattr(evaluation, "question_set", lambda df, order: given.append(df) or df.withColumn("question_id", F.lit("")))
