@@ -55,7 +55,7 @@ def test_no_row_for_each_query_and_matching_chunk(spark, queries, monkeypatch, n
 
 
 def test_ways_to_rank_share_one_plan(spark, queries):
-    """A plan for each way filled the driver's memory with their stages, and the disk with the same lists shuffled again."""
+    """A plan for each way shuffled the same lists again, beyond the disk allowed, and took more of the driver's memory."""
     text = plan(queries["fusion_matrix"](spark, SF))
     assert text.count("Exchange hashpartitioning") < 10 and len(text) < 50_000
 
